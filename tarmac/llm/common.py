@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000,
     for b in batches:
         if not b.num_rows:
             continue
-        sizes = pa.compute.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and (total + n > most or i - start >= rows):
