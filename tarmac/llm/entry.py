@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filters
+from . import licenses, media, packing, quality_rules, tokens, url_filters
 
-QUERIES = {"op8_url_filters": url_filters.query, "op10_quality_rules": quality_rules.query}
+QUERIES = {
+    "op2_media_columns": media.query,
+    "op3_license_scan": licenses.query,
+    "op4_packing": packing.query,
+    "op8_url_filters": url_filters.query,
+    "op9_bpe": tokens.query,
+    "op10_quality_rules": quality_rules.query,
+}
 
 ORACLES = {"op8_url_filters": url_filters.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
