@@ -19,17 +19,23 @@ import os
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, total_bytes
+from .blocks import block_count, deal, raw_texts
 
 #: Bytes of text of a block: bounds the memory of a task.
 BLOCK_BYTES = 16_000_000
 #: Distinct words that a worker keeps before it starts afresh.
 CACHE_WORDS = 300_000
+#: Most buckets of distinct words; a block sends one value to each.
+MAX_BUCKETS = 4096
 _ODD = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　]")
+#: A full stop or comma at the start, or after white space or another mark, doesn't start a pattern of its own.
+_MARKS = re.compile(r"(?:^|[^\w]|_)[.,]")
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
 
@@ -77,107 +83,110 @@ def split_words(text: str) -> list[str]:
     if not text:
         return []
     if text[0] not in " \n" and text[-1] not in " \n" and "  " not in text and " \n" not in text and "\n " not in text and "\n\n" not in text and not _ODD.search(text):
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        if not _MARKS.search(text):
+            cut = cut.replace(".", "\0.").replace(",", "\0,")
+        return cut.split("\0")
     return _CUT.split(text)
 
 
 class WordIds(dict):
-    """word -> (ids as decimal text with a trailing comma, decoded bytes, number of ids), each encoded once."""
+    """word -> ids as little-endian 32-bit numbers, each encoded once."""
 
     def __init__(self, path: str):
-        self.path = path
-        self.tokenizer, self.pieces = load(path), pieces(path)
+        self.tokenizer = load(path)
 
     def learn(self, words) -> None:
         if len(self) > CACHE_WORDS:
             self.clear()
         new = [w for w in words if w not in self]
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self[w] = ("".join(f"{i}," for i in ids), b"".join([self.pieces[i] for i in ids]), len(ids))
+            self[w] = np.array(e.ids, "<u4").tobytes()
 
 
-def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """block, doc_id, zstd-compressed text; blocks depend on doc_id and text only, so a rerun deals alike."""
-    n = max(1, -(-total_bytes(docs, "text") // block_bytes))
-    spark = docs.sparkSession
-    n = max(n, spark.sparkContext.defaultParallelism)
-
-    def run(batches):
-        import zstandard
-
-        c = zstandard.ZstdCompressor(level=1)
-        for b in slices(batches, "text"):
-            z = [c.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("doc_id").cast(pa.int64()), pa.array(z, pa.binary())], ["block", "doc_id", "z"])
+def pack_bytes(parts: list[bytes]) -> bytes:
+    """Byte strings as one compressed one: their number, lengths and contents."""
+    import zstandard
 
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block")
-    return docs.select(block, "doc_id", "text").mapInArrow(run, "block int, doc_id long, z binary").repartition(n, "block")
+    head = np.array([len(parts), *map(len, parts)], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
 
-def _texts(column) -> list[str]:
+def unpack_bytes(packed: bytes) -> list[bytes]:
     import zstandard
 
-    d = zstandard.ZstdDecompressor()
-    return [d.decompress(z).decode("utf-8", "surrogatepass") for z in column.to_pylist()]
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, 4).astype("i8"))).tolist()
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
-def distinct_words(packed: DataFrame) -> DataFrame:
-    """block, word: the words of each block, once for each stretch of a task's rows."""
+def _vocabulary(table: pa.Table, buckets: int) -> dict[int, list[bytes]]:
+    """Distinct words of a block, sorted within each bucket: the same list whenever it is made from the same texts."""
+    words: set[str] = set()
+    for chunk in table.to_batches(max_chunksize=256):
+        for raw in raw_texts(chunk.column("z")):
+            words.update(split_words(raw.decode("utf-8", "surrogatepass")))
+    found: dict[int, list[bytes]] = {}
+    for w in words:
+        raw = w.encode("utf-8", "surrogatepass")
+        found.setdefault(xxhash.xxh3_64_intdigest(raw) % buckets, []).append(raw)
+    return {k: sorted(v) for k, v in found.items()}
 
-    def run(batches):
-        seen: dict[int, set] = {}
-        size = 0
 
-        def out():
-            for block, words in seen.items():
-                got = list(words)
-                for i in range(0, len(got), 50_000):
-                    part = got[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.string())], ["block", "word"])
+def distinct_words(dealt: DataFrame, buckets: int) -> DataFrame:
+    """bucket, block, words: each block's distinct words, those of a bucket in one value."""
 
-        for b in batches:
-            for block, text in zip(b.column("block").to_pylist(), _texts(b.column("z")), strict=True):
-                s = seen.setdefault(block, set())
-                before = len(s)
-                s.update(split_words(text))
-                size += len(s) - before
-                if size > 1_000_000:
-                    yield from out()
-                    seen, size = {}, 0
-        yield from out()
+    def run(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        found = _vocabulary(table, buckets)
+        return pa.table({"bucket": pa.array(list(found), pa.int32()), "block": pa.array([block] * len(found), pa.int32()), "words": pa.array([pack_bytes(v) for v in found.values()], pa.binary())})
 
-    return packed.mapInArrow(run, "block int, word string")
+    return dealt.groupBy("block").applyInArrow(run, "bucket int, block int, words binary")
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """block, word, ids, decoded, n of (block, word) rows: all rows of a word meet in one task, which encodes it once."""
+def encode_words(words: DataFrame, buckets: int, path: str) -> DataFrame:
+    """bucket, block, ids: every word belongs to one bucket, whose task encodes it once for all blocks."""
 
     def run(batches):
         known = WordIds(path)
         for b in batches:
-            got = b.column("word").to_pylist()
-            known.learn(set(got))
-            ids, decoded, n = zip(*[known[w] for w in got], strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("word"), pa.array(ids, pa.string()), pa.array(decoded, pa.binary()), pa.array(n, pa.int32())], ["block", "word", "ids", "decoded", "n"])
+            out = []
+            for packed in b.column("words").to_pylist():
+                ws = [w.decode("utf-8", "surrogatepass") for w in unpack_bytes(packed)]
+                known.learn(ws)
+                out.append(pack_bytes([known[w] for w in ws]))
+            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("block"), pa.array(out, pa.binary())], ["bucket", "block", "ids"])
 
-    n = words.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return words.repartition(int(n), "word").mapInArrow(run, "block int, word string, ids string, decoded binary, n int")
+    return words.repartition(buckets, "bucket").mapInArrow(run, "bucket int, block int, ids binary")
 
 
-def join_by_position(packed: DataFrame, encoded: DataFrame, finish, schema: pa.Schema, ddl: str) -> DataFrame:
-    """finish(doc_id, list of word rows in order) for every text, with its block's words."""
+def join_by_position(dealt: DataFrame, encoded: DataFrame, buckets: int, path: str, finish, schema: pa.Schema, ddl: str) -> DataFrame:
+    """finish(words, ids, decoded) of every text; ids and decoded map a word to its ids in decimal and its bytes.
+
+    The ids of a bucket stand in the order of the block's sorted words. Ids are looked up in the id-to-piece table.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = dict(zip(right.column("word").to_pylist(), zip(right.column("ids").to_pylist(), right.column("decoded").to_pylist(), right.column("n").to_pylist(), strict=True), strict=True))
+        if not left.num_rows:
+            return schema.empty_table()
+        piece = pieces(path)
+        words = _vocabulary(left, buckets)
+        ids: dict[str, str] = {}
+        decoded: dict[str, bytes] = {}
+        for bucket, packed in zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True):
+            for raw, own in zip(words[bucket], unpack_bytes(packed), strict=True):
+                w, got = raw.decode("utf-8", "surrogatepass"), np.frombuffer(own, "<u4").tolist()
+                ids[w] = "".join([f"{i}," for i in got])
+                decoded[w] = b"".join([piece[i] for i in got])
         rows = []
         for chunk in left.to_batches(max_chunksize=256):
-            for doc, text in zip(chunk.column("doc_id").to_pylist(), _texts(chunk.column("z")), strict=True):
-                rows.append((doc, *finish([table[w] for w in split_words(text)])))
-        cols = list(zip(*rows, strict=True)) if rows else [() for _ in schema]
+            for doc, raw in zip(chunk.column("doc_id").to_pylist(), raw_texts(chunk.column("z")), strict=True):
+                rows.append((doc, *finish(split_words(raw.decode("utf-8", "surrogatepass")), ids, decoded)))
+        cols = list(zip(*rows, strict=True))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return packed.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(run, ddl)
+    return dealt.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(run, ddl)
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -188,20 +197,23 @@ def _text_of(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def _digest(words: list) -> tuple:
-    ids, decoded, n = zip(*words, strict=True) if words else ((), (), ())
-    decimal = "".join(ids)[:-1]
-    return sum(n), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(_text_of(b"".join(decoded)).encode()).hexdigest()
+def _digest(words: list[str], ids: dict, decoded: dict) -> tuple:
+    decimal = "".join(map(ids.__getitem__, words))
+    whole = _text_of(b"".join(map(decoded.__getitem__, words)))
+    return decimal.count(","), hashlib.sha256(decimal[:-1].encode()).hexdigest(), hashlib.sha256(whole.encode()).hexdigest()
 
 
-def _ids(words: list) -> tuple:
-    ids, decoded, _ = zip(*words, strict=True) if words else ((), (), ())
-    return [int(i) for i in "".join(ids).split(",")[:-1]], _text_of(b"".join(decoded))
+def _ids(words: list[str], ids: dict, decoded: dict) -> tuple:
+    decimal = "".join(map(ids.__getitem__, words))
+    return [int(i) for i in decimal.split(",")[:-1]], _text_of(b"".join(map(decoded.__getitem__, words)))
 
 
 def _run(docs: DataFrame, path: str | None, block_bytes: int, finish, schema, ddl) -> DataFrame:
-    packed = _packed(docs.select("doc_id", "text"), block_bytes)
-    return join_by_position(packed, encode_words(distinct_words(packed), path or default_path()), finish, schema, ddl)
+    path = path or default_path()
+    n = block_count(docs, block_bytes)
+    buckets = min(n, MAX_BUCKETS)
+    dealt = deal(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], n)
+    return join_by_position(dealt, encode_words(distinct_words(dealt, buckets), buckets, path), buckets, path, finish, schema, ddl)
 
 
 def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
