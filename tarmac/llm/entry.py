@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import licenses, media, packing, quality_rules, substring_dedup, tokens, url_filters
+from . import licenses, media, minhash_dedup, packing, quality_rules, substring_dedup, tokens, url_filters
 
 QUERIES = {
     "op2_media_columns": media.query,
     "op3_license_scan": licenses.query,
     "op4_packing": packing.query,
+    "op6_minhash_dedup": minhash_dedup.query,
     "op7_substring_dedup": substring_dedup.query,
     "op8_url_filters": url_filters.query,
     "op9_bpe": tokens.query,
