@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, media, minhash_dedup, packing, quality_rules, substring_dedup, tokens, url_filters
+from . import kneser_ney, licenses, media, minhash_dedup, packing, quality_rules, substring_dedup, tokens, url_filters
 
 QUERIES = {
+    "op1_kneser_ney": kneser_ney.query,
     "op2_media_columns": media.query,
     "op3_license_scan": licenses.query,
     "op4_packing": packing.query,
