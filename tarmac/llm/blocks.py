@@ -83,12 +83,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def grams(h: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """Hash of k consecutive values from each place on (as many as fit), the same wherever they stand."""
-    n = len(h) - k + 1
-    if n <= 0:
+    """Hash of k consecutive values from each place on (as many as fit), the same wherever they stand.
+
+    A polynomial in `base`, put together from stretches of doubled length, and mixed.
+    """
+    if len(h) < k:
         return np.empty(0, "u8")
-    out = np.zeros(n, "u8")
-    for j in range(k):
-        out *= _U(base)
-        out += h[j : j + n]
-    return mix(out)
+    out, have, part, width = None, 0, h, 1
+    left = k
+    while left:
+        if left & 1:
+            if out is None:
+                out, have = part, width
+            else:
+                n = len(h) - have - width + 1
+                out, have = part[:n] * _U(pow(base, have, 1 << 64)) + out[width : width + n], have + width
+        left >>= 1
+        if left:
+            n = len(h) - 2 * width + 1
+            part = part[:n] * _U(pow(base, width, 1 << 64)) + part[width : width + n]
+            width *= 2
+    return mix(out[: len(h) - k + 1])

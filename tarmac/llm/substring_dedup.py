@@ -148,6 +148,21 @@ def window_rows(dealt: DataFrame, recurring_anchors: DataFrame, w: int) -> DataF
     return dealt.groupBy("block").cogroup(recurring_anchors.groupBy("block")).applyInArrow(run, "block int, a long, b long, n int")
 
 
+#: Word numbers are written as three characters of different ranges, so that automaton nodes have few children
+#: and stretches only match where words begin.
+_BASE = 128
+_FIRST = 0x100
+
+
+def _spelled(words: np.ndarray) -> str:
+    """Word numbers as a string of three characters each."""
+    out = np.empty((len(words), 3), "<u4")
+    out[:, 0] = 0x10000 + words // (_BASE * _BASE)
+    out[:, 1] = _FIRST + words // _BASE % _BASE
+    out[:, 2] = _FIRST + _BASE + words % _BASE
+    return out.tobytes().decode("utf-32-le")
+
+
 class Passages:
     """Recurring passages of one block, their automaton over word numbers, and the search for occurrences."""
 
@@ -155,17 +170,20 @@ class Passages:
         import ahocorasick
 
         self.w, self.step = w, w // 2 + 1
-        self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.auto = ahocorasick.Automaton()
         self.texts: list[np.ndarray] = []
 
     def add(self, words: np.ndarray) -> None:
         """A passage: stretches of half a window at every half window go into the automaton, so that each window holds one."""
-        k, p = self.step, len(self.texts)
+        k, p, spelled = self.step, len(self.texts), _spelled(words)
         self.texts.append(words)
         for at in range(0, len(words) - k + 1, k):
-            key = tuple(words[at : at + k].tolist())
-            self.auto.get(key, None) is None and self.auto.add_word(key, [])
-            self.auto.get(key).append((p, at))
+            key = spelled[3 * at : 3 * (at + k)]
+            seeds = self.auto.get(key, None)
+            if seeds is None:
+                self.auto.add_word(key, [(p, at)])
+            else:
+                seeds.append((p, at))
 
     def compile(self) -> None:
         if self.texts:
@@ -177,7 +195,8 @@ class Passages:
         if not self.texts or len(words) < self.w:
             return hit
         done: dict[tuple[int, int], int] = {}
-        for end, seeds in self.auto.iter(tuple(words.tolist())):
+        for end, seeds in self.auto.iter(_spelled(words)):
+            end //= 3
             at = end - self.step + 1
             for p, off in seeds:
                 line = (p, at - off)
