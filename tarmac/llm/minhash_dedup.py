@@ -264,3 +264,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One document of each near-duplicate group, with the columns of docs; rows with a null doc_id stay."""
+    ids = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()
+    ids = Workspace(docs.sparkSession, "minhash-kept").write(ids, "ids")
+    left = docs.join(ids, "doc_id", "left_semi")
+    one = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
+    return left.withColumn("_one", one).where("_one = 1").select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -173,3 +173,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        OR 10 * word_chars < 20 * n_words OR word_chars > 20 * n_words) AS kept
 FROM f
 """
+
+
+def keep_passing(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
+    """The documents that no rule rejects, with the columns of docs."""
+    ws = Workspace(docs.sparkSession, "quality-rules")
+    order = [r for r, _, _ in plan_cascade(with_features(docs.select("doc_id", "text").sample(SAMPLE_SHARE, seed=1)).drop("text"), default_rules(), ws, sample_rows)]
+    inner = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
+    return with_features(inner).where(~base_failed()).where(cascade(order).isNull()).select("row.*")
