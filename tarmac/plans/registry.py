@@ -1,13 +1,443 @@
-"""Registered queries of the engine."""
+"""Registered queries of the engine and the same in DuckDB's SQL.
 
+WO stands for the work-order view in the SQL texts. Tokens and lines are ASCII there, so that both engines' regular
+expressions agree.
+"""
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from ..functions import citations, codes, defect, lexicons, text
+from ..operators import cache, catalog, decision, hierarchy, store, tfidf
+from .workorders import SQL, work_orders
 
+_QUERIES: dict = {}
+_ORACLES: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+def query(oracle: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = f"WITH wo AS ({SQL}) {oracle.strip()}" if " wo" in oracle else oracle.strip()
+        return f
+
+    return add
+
+
+def queries() -> dict:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def evidence(wo: DataFrame) -> DataFrame:
+    """wo with technical, e0, e1, e1_source, e1_valid: everything but the catalog."""
+    both = F.concat_ws("\n", "defect", "action")
+    judged = defect.classify(wo, "defect", "action", "wo_type").withColumnRenamed("is_technical", "technical")
+    cited = judged.withColumn("c", F.when(F.col("technical") | citations.hinted(F.col("defect"), F.col("action")), citations.best(both)))
+    return cited.select(*wo.columns, "technical", codes.ata04(F.col("entered")).alias("e0"), F.col("c.ata04").alias("e1"), F.col("c.manual").alias("e1_source")).withColumn(
+        "e1_valid", F.coalesce(decision.citation_valid(F.col("technical"), F.col("e1")), F.lit(False))
+    )
+
+
+def decided(wo: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    e = evidence(wo)
+    if matches is None:
+        e = e.withColumns({"e2": F.lit(None).cast("string"), "e2_score": F.lit(None).cast("double")})
+    else:
+        e = e.join(matches.select("wo_id", F.col("ata04").alias("e2"), F.col("score").alias("e2_score")), "wo_id", "left")
+    return decision.decide_table(e)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the work orders."""
+    return decided(work_orders(spark, sf_dir)).groupBy("decision").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+
+
+# --- memory ---------------------------------------------------------------------------------------------------
+
+_MEM = "mem AS (SELECT defect AS text, entered AS ata04, sha1(coalesce(defect, '')) AS hash, seq, wo_id FROM wo WHERE entered IS NOT NULL AND length(defect) > 0)"
+
+
+def memory(spark, sf_dir) -> DataFrame:
+    return work_orders(spark, sf_dir).where("entered is not null and length(defect) > 0").select(F.col("defect").alias("text"), F.col("entered").alias("ata04"), text.text_hash(F.col("defect")).alias("hash"), "seq", "wo_id")
+
+
+@query(f", {_MEM} SELECT hash, ata04, text FROM (SELECT *, row_number() OVER (PARTITION BY hash, ata04 ORDER BY seq, wo_id) AS r FROM mem) WHERE r = 1 -- FROM wo")
+def dedup_first(spark, sf_dir):
+    return store.keep_first(memory(spark, sf_dir), ["hash", "ata04"], "seq", "wo_id").select("hash", "ata04", "text")
+
+
+@query("SELECT entered AS ATA04, max_by(defect, (seq, wo_id)) AS Title FROM wo WHERE entered IS NOT NULL AND defect IS NOT NULL GROUP BY entered")
+def dedup_latest_map(spark, sf_dir):
+    rows = work_orders(spark, sf_dir).where("entered is not null and defect is not null").select(F.col("entered").alias("ATA04"), F.col("defect").alias("Title"), "seq", "wo_id")
+    return store.upsert_latest(rows.where("1 = 0"), rows, ["ATA04"], "seq", "wo_id").select("ATA04", "Title")
+
+
+@query(f", {_MEM} SELECT count(*) AS n_rows, count(DISTINCT ata04) AS n_classes, round(avg(length(text)), 2) AS avg_length FROM mem -- wo")
+def training_stats(spark, sf_dir):
+    return store.stats(memory(spark, sf_dir))
+
+
+@query(f", {_MEM} SELECT ata04, count(*) AS docs FROM mem GROUP BY ata04 ORDER BY docs DESC, ata04 LIMIT 20 -- wo")
+def top20_classes(spark, sf_dir):
+    return store.class_counts(memory(spark, sf_dir), 20)
+
+
+@query(f", {_MEM} SELECT sum(d)::BIGINT AS total, round(avg(d), 6) AS mean, min(d) AS least, max(d) AS most, count(*) FILTER (WHERE d < 10) AS below FROM (SELECT count(*) AS d FROM mem GROUP BY ata04) -- wo")
+def class_summary(spark, sf_dir):
+    return store.class_summary(memory(spark, sf_dir), 10).withColumn("mean", F.round("mean", 6))
+
+
+@query(f", {_MEM} SELECT round(avg(CASE WHEN m.ata04 IN (SELECT lpad(CAST(21 + s_suppkey % 30 AS VARCHAR), 2, '0') || '-' || lpad(CAST(10 + s_suppkey % 80 AS VARCHAR), 2, '0') FROM supplier) THEN 1.0 ELSE 0.0 END) * 100, 2) AS coverage_percent FROM (SELECT DISTINCT ata04 FROM mem) m -- wo")
+def label_coverage(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    code = F.concat(F.lpad((21 + F.col("s_suppkey") % 30).cast("string"), 2, "0"), F.lit("-"), F.lpad((10 + F.col("s_suppkey") % 80).cast("string"), 2, "0"))
+    return store.coverage(memory(spark, sf_dir), s.select(code.alias("ATA04")))
+
+
+@query(f", {_MEM} SELECT DISTINCT hash FROM mem WHERE seq % 2 = 1 AND hash NOT IN (SELECT hash FROM mem WHERE seq % 2 = 0 AND ata04 < '30') -- wo")
+def incremental_anti(spark, sf_dir):
+    m = memory(spark, sf_dir)
+    return store.new_rows(m.where("seq % 2 = 0 and ata04 < '30'"), m.where("seq % 2 = 1")).select("hash")
+
+
+@query(f", {_MEM} SELECT hash, min(g) AS gen FROM (SELECT hash, 0 AS g FROM mem WHERE ata04 < '40' UNION ALL SELECT hash, 1 FROM mem WHERE ata04 >= '40') GROUP BY hash -- wo")
+def merged_memory(spark, sf_dir):
+    m = memory(spark, sf_dir)
+    a, b = m.where("ata04 < '40'").withColumn("gen", F.lit(0)), m.where("ata04 >= '40'").withColumn("gen", F.lit(1))
+    return store.merged(a.select("text", "ata04", "hash", "gen"), b.select("text", "ata04", "hash", "gen")).select("hash", "gen")
+
+
+@query()
+def class_cap(spark, sf_dir):
+    return store.capped(memory(spark, sf_dir), 5).groupBy("ata04").agg(F.count("*").alias("docs"))
+
+
+_CACHE = "c AS (SELECT event_type || '-' || CAST(user_id AS VARCHAR) AS key, props AS value, CAST(floor(epoch(ts)) AS BIGINT) AS ts, (event_id % 5) * 86400 AS ttl, event_type AS model, CAST(length(props) AS INTEGER) AS tokens, event_id FROM events), n AS (SELECT max(ts) AS now FROM c)"
+
+
+def cache_table(spark, sf_dir) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("key"), F.col("props").alias("value"), F.unix_timestamp(F.col("ts")).alias("ts"), ((F.col("event_id") % 5) * 86400).alias("ttl"), F.col("event_type").alias("model"), F.length("props").alias("tokens"), "event_id")
+
+
+def _now(df: DataFrame) -> int:
+    return df.agg(F.max("ts")).head()[0] or 0
+
+
+@query(f"WITH {_CACHE} SELECT event_id FROM c, n WHERE ttl > 0 AND now - ts > ttl")
+def ttl_expired(spark, sf_dir):
+    c = cache_table(spark, sf_dir)
+    return c.where(cache.expired(_now(c))).select("event_id")
+
+
+@query(f"WITH {_CACHE} SELECT count(*) AS total, count(*) FILTER (WHERE ttl > 0 AND now - ts > ttl) AS expired, count(*) FILTER (WHERE NOT (ttl > 0 AND now - ts > ttl)) AS active, round(sum(length(value)) / 1048576.0, 2) AS mb, sum(tokens)::BIGINT AS tokens FROM c, n")
+def cache_stats(spark, sf_dir):
+    c = cache_table(spark, sf_dir)
+    return cache.stats(c, _now(c))
+
+
+@query(f"WITH {_CACHE} SELECT model, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM c GROUP BY model")
+def cache_stats_by_type(spark, sf_dir):
+    return cache.by_model(cache_table(spark, sf_dir))
+
+
+@query(f"WITH {_CACHE} SELECT key, max(ts) AS ts FROM c GROUP BY key")
+def upsert_latest(spark, sf_dir):
+    c = cache_table(spark, sf_dir)
+    return store.keep_first(c, ["key"], F.desc("ts"), "event_id").select("key", "ts")
+
+
+@query(f"WITH {_CACHE} SELECT k.key, max(c.ts) AS ts FROM (SELECT DISTINCT 'click-' || CAST(user_id AS VARCHAR) AS key FROM events) k LEFT JOIN (SELECT c.* FROM c, n WHERE NOT (ttl > 0 AND now - ts > ttl)) c ON c.key = k.key GROUP BY k.key")
+def cache_lookup(spark, sf_dir):
+    c = cache_table(spark, sf_dir)
+    keys = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("click-"), F.col("user_id").cast("string")).alias("key")).distinct()
+    return keys.join(cache.live(c, _now(c)), "key", "left").groupBy("key").agg(F.max("ts").alias("ts"))
+
+
+# --- text and codes -------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT wo_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(action, ''), '\b(ECAM|EICAS|CAS|CFDS)\s+(FAULT|FAIL|WARN|CAUTION|ADVISORY)\b', '\1-\2', 'gi'), '\b(BITE|FWC)\s+(FAULT|FAIL|TEST)\b', '\1-\2', 'gi'), '\b(LRU|UNIT)\s+(FAIL|FAULT|INOP)\b', '\1-\2', 'gi')) AS out FROM wo")
+def sysmsg_hyphen(spark, sf_dir):
+    return work_orders(spark, sf_dir).select("wo_id", F.trim(text.system_messages(F.col("action"))).alias("out"))
+
+
+@query(r"SELECT wo_id, regexp_replace(regexp_replace(regexp_replace(coalesce(action, ''), '\bTSM 36 11 00\b', 'TSM 36-11-00', 'g'), '\bFIM21-51\b', 'FIM 21-51', 'g'), '\b(AMM|TSM|FIM|IPC) +(\d)', '\1 \2', 'g') AS out FROM wo")
+def manual_ref_norm(spark, sf_dir):
+    return work_orders(spark, sf_dir).select("wo_id", text.manual_references(F.col("action")).alias("out"))
+
+
+@query(r"""SELECT wo_id, trim(regexp_replace(array_to_string(list_filter(string_split(replace(coalesce(defect, ''), 'UNIT FAIL', 'UNIT-FAIL'), chr(10)), lambda x: trim(x) <> '' AND (regexp_matches(x, '(?i)\b(AMM|TSM|FIM|IPC|WDM|SRM|ECAM|EICAS|CAS|CFDS|FAULT|FAIL|LEAK|OVERHEAT|WARNING|INOP|MEL)\b') OR NOT regexp_matches(x, '\b\d{1,2}[:.]\d{2}\b|\bBY\s+[A-Z]{3}\d{5}\b'))), ' '), '\s+', ' ', 'g')) AS out FROM wo""")
+def clean_lines(spark, sf_dir):
+    return work_orders(spark, sf_dir).select("wo_id", text.clean(F.col("defect")).alias("out"))
+
+
+@query(r"SELECT wo_id, CASE WHEN regexp_matches(coalesce(action, ''), '\|\s*ACTION:') THEN trim(regexp_extract(replace(action, chr(10), '~'), '^(.*?)\|\s*ACTION:', 1)) ELSE trim(replace(coalesce(action, ''), chr(10), '~')) END AS defect_part, CASE WHEN regexp_matches(coalesce(action, ''), '\|\s*ACTION:') THEN trim(regexp_extract(replace(action, chr(10), '~'), '^.*?\|\s*ACTION:(.*)$', 1)) ELSE '' END AS action_part FROM wo")
+def split_defect_action(spark, sf_dir):
+    s = text.split_defect_action(F.regexp_replace("action", "\n", "~"))
+    return work_orders(spark, sf_dir).select("wo_id", s["defect"].alias("defect_part"), s["action"].alias("action_part"))
+
+
+@query("SELECT wo_id, sha1(coalesce(defect, '')) AS text_hash, sha1(coalesce(defect, '') || '||' || coalesce(action, '')) AS pair_hash FROM wo")
+def sha1_keys(spark, sf_dir):
+    return work_orders(spark, sf_dir).select("wo_id", text.text_hash(F.col("defect")).alias("text_hash"), text.pair_hash(F.col("defect"), F.col("action")).alias("pair_hash"))
+
+
+@query(r"SELECT doc_id, CASE WHEN length(d) >= 4 THEN substr(d, 1, 2) || '-' || substr(d, 3, 2) END AS code FROM (SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS d FROM documents)")
+def ata4_from_digits(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", codes.ata04(F.col("text")).alias("code"))
+
+
+@query("SELECT wo_id, CASE WHEN entered IS NOT NULL THEN substr(entered, 1, 2) END AS a2, entered AS a4 FROM wo")
+def code_levels(spark, sf_dir):
+    return work_orders(spark, sf_dir).select("wo_id", codes.ata2(F.col("entered")).alias("a2"), codes.ata4(F.col("entered")).alias("a4"))
+
+
+_LINES = "l AS (SELECT DISTINCT lpad(CAST(21 + p_partkey % 60 AS VARCHAR), 2, '0') AS c2, lpad(CAST(p_size AS VARCHAR), 2, '0') AS c4, p_brand AS b FROM part)"
+
+
+def code_lines(spark, sf_dir) -> DataFrame:
+    """Lines `AA - name` and `AA-BB - name` made from parts."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lpad((21 + F.col("p_partkey") % 60).cast("string"), 2, "0").alias("c2"), F.lpad(F.col("p_size").cast("string"), 2, "0").alias("c4"))
+    two = p.select(F.concat("c2", F.lit(" - SYSTEM "), "c2").alias("text")).distinct()
+    four = p.select(F.concat("c2", F.lit("-"), "c4", F.lit(" - UNIT "), "c4", F.lit(" OF ASSEMBLY")).alias("text")).distinct()
+    return two.union(four).withColumn("seq", F.xxhash64("text"))
+
+
+@query(f"WITH {_LINES} SELECT DISTINCT c2 AS code, 'SYSTEM ' || c2 AS description, 2 AS level FROM l UNION SELECT DISTINCT c2 || '-' || c4, 'UNIT ' || c4 || ' OF ASSEMBLY', 4 FROM l")
+def parse_levels(spark, sf_dir):
+    return hierarchy.nodes(code_lines(spark, sf_dir)).select("code", "description", "level")
+
+
+@query(f"WITH {_LINES} SELECT DISTINCT c2 || '-' || c4 AS code, 'SYSTEM ' || c2 || ' - UNIT ' || c4 || ' OF ASSEMBLY' AS title FROM l")
+def hierarchy_titles(spark, sf_dir):
+    return hierarchy.inherited(hierarchy.nodes(code_lines(spark, sf_dir))).where("level = 4").select("code", F.col("full").alias("title"))
+
+
+@query(f"WITH {_LINES}, k AS (SELECT DISTINCT c2, c4 FROM l) SELECT c2 AS code, least(count(*), 10)::BIGINT AS n FROM k GROUP BY c2")
+def children_rollup(spark, sf_dir):
+    return hierarchy.children(hierarchy.nodes(code_lines(spark, sf_dir))).select("code", (F.size(F.split("includes", ", "))).cast("bigint").alias("n"))
+
+
+@query("SELECT DISTINCT entered AS ata4, e.engine_type FROM wo, (SELECT 'IAE' AS engine_type UNION ALL SELECT 'PW11' UNION ALL SELECT NULL) e WHERE entered IS NOT NULL AND (CAST(substr(entered, 1, 2) AS INTEGER) >= 70) = (e.engine_type IS NOT NULL)")
+def engine_fanout(spark, sf_dir):
+    return hierarchy.engine_fanout(work_orders(spark, sf_dir).where("entered is not null").select(F.col("entered").alias("ata4")).distinct())
+
+
+@query("SELECT wo_id, j AS similarity FROM (SELECT wo_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(len(list_intersect(a, b)) * 1.0 / len(list_distinct(list_concat(a, b))), 6) ELSE 0.0 END AS j FROM (SELECT wo_id, list_filter(list_distinct(string_split(lower(d), ' ')), lambda x: x <> '') AS a, ['hyd', 'pump', 'leak'] AS b FROM (SELECT wo_id, regexp_replace(coalesce(defect, ''), '[^\\w\\s-]', '', 'g') AS d FROM wo)))")
+def token_jaccard(spark, sf_dir):
+    return work_orders(spark, sf_dir).select("wo_id", F.round(text.similarity(F.col("defect"), F.lit("HYD PUMP LEAK")), 6).alias("similarity"))
+
+
+@query()
+def tech_keywords(spark, sf_dir):
+    return work_orders(spark, sf_dir).select("wo_id", F.array_join(text.technical_keywords(F.concat_ws(" ", "defect", "action")), ";").alias("keywords"))
+
+
+# --- citations ------------------------------------------------------------------------------------------------
+
+
+@query()
+def citations_exploded(spark, sf_dir):
+    c = work_orders(spark, sf_dir).select("wo_id", F.explode(citations.extract(F.concat_ws("\n", "defect", "action"))).alias("c"))
+    return c.select("wo_id", "c.priority", "c.normalized", "c.manual", "c.ata04", "c.source")
+
+
+@query(r"SELECT wo_id, len(list_filter(regexp_extract_all(coalesce(action, ''), '\b(TSM|IPC|AMM|FIM|WDM|SRM)\s*[-:]?\s*\d{2}[- ]?\d{2}'), lambda x: true))::INTEGER AS n FROM wo")
+def prefixed_counts(spark, sf_dir):
+    return work_orders(spark, sf_dir).select("wo_id", F.regexp_count(F.coalesce("action", F.lit("")), F.lit(r"\b(TSM|IPC|AMM|FIM|WDM|SRM)\s*[-:]?\s*\d{2}[- ]?\d{2}")).alias("n"))
+
+
+@query(r"SELECT wo_id, regexp_extract(action, '\bTASK (\d{2}-\d{2})', 1) AS code FROM wo WHERE action = 'TASK 21-26-40-001 DONE' AND (defect IS NULL OR defect NOT LIKE '%AMM%')")
+def best_citation(spark, sf_dir):
+    wo = work_orders(spark, sf_dir).where("action = 'TASK 21-26-40-001 DONE' AND (defect IS NULL OR defect NOT LIKE '%AMM%')")
+    return wo.select("wo_id", citations.best(F.concat_ws("\n", "defect", "action"))["ata04"].alias("code"))
+
+
+@query("SELECT wo_id, CAST(0 AS INTEGER) AS n FROM wo WHERE action = 'ADJUSTED AS PER CMM 32-41-00'")
+def cmm_excluded(spark, sf_dir):
+    return work_orders(spark, sf_dir).where("action = 'ADJUSTED AS PER CMM 32-41-00'").select("wo_id", F.size(citations.extract(F.col("action"))).alias("n"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_extract_all(' ' || replace(regexp_replace(text, '[^0-9]+', '  ', 'g'), ' ', '  ') || ' ', ' (\d{6,8}) ', 1), lambda x: NOT (length(x) = 8 AND (x LIKE '19%' OR x LIKE '20%'))))::INTEGER AS n FROM documents")
+def compressed_refs(spark, sf_dir):
+    found = F.filter(F.regexp_extract_all("text", F.lit(citations.COMPACT), F.lit(1)), lambda x: ~((F.length(x) == 8) & x.rlike("^(19|20)")))
+    return _docs(spark, sf_dir).select("doc_id", F.size(found).alias("n"))
+
+
+@query()
+def priority_counts(spark, sf_dir):
+    return citations_exploded(spark, sf_dir).groupBy("priority", "manual").agg(F.count("*").alias("n"))
+
+
+# --- defects --------------------------------------------------------------------------------------------------
+
+_COUNTED = ("corrective_strong", "corrective_weak", "no_finding", "cosmetic", "natural_wear", "scheduled_overhaul", "rigging_servicing", "warn_ctx", "strong_symptom")
+
+
+def _hits_oracle() -> str:
+    q = lambda s: s.replace("'", "''")
+    cols = ", ".join(f"len(regexp_extract_all(coalesce(defect, ''), '(?i){q('|'.join(lexicons.FAMILIES[k]['en']))}'))::INTEGER AS {k}" for k in _COUNTED)
+    return f"SELECT wo_id, {cols} FROM wo"
+
+
+@query(_hits_oracle())
+def hit_counts(spark, sf_dir):
+    h = defect.hit_counts(F.coalesce("defect", F.lit("")), ("en",))
+    return work_orders(spark, sf_dir).select("wo_id", *[h[k].alias(k) for k in _COUNTED])
+
+
+@query()
+def defect_scores(spark, sf_dir):
+    return defect.classify(work_orders(spark, sf_dir), "defect", "action", "wo_type").select("wo_id", "defect_score", "nondef_score", "is_technical", "rule")
+
+
+@query()
+def rule_histogram(spark, sf_dir):
+    return defect_scores(spark, sf_dir).groupBy("rule", "is_technical").agg(F.count("*").alias("n"))
+
+
+@query()
+def sched_ladder(spark, sf_dir):
+    return defect.classify_keywords(work_orders(spark, sf_dir), "defect", "action", "wo_type").groupBy("reason", "is_technical_defect", "confidence").agg(F.count("*").alias("n"))
+
+
+# --- TF-IDF ---------------------------------------------------------------------------------------------------
+
+_TF = r"""t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM b), tf AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL),
+ n AS (SELECT count(*) AS n FROM b), v AS (SELECT term, count(*) AS df, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf FROM tf, n GROUP BY term),
+ x AS (SELECT item_id, term, tf * idf AS x FROM tf JOIN v USING (term)), w AS (SELECT item_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS w FROM x)"""
+_B = "b AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS text FROM benchmark)"
+
+
+def _bench(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text"))
+
+
+def _weights(spark, sf_dir):
+    b = _bench(spark, sf_dir)
+    counts = tfidf.term_counts(b, "item_id", "text", (1, 1))
+    v = tfidf.fit(counts, b.count())
+    return counts, v, tfidf.weigh(counts, "item_id", v)
+
+
+@query(f"WITH {_B}, {_TF} SELECT term, df, round(idf, 6) AS idf FROM v")
+def df_idf(spark, sf_dir):
+    return _weights(spark, sf_dir)[1].withColumn("idf", F.round("idf", 6))
+
+
+@query(f"WITH {_B}, {_TF} SELECT item_id, round(sqrt(sum(w * w)), 6) AS norm, count(*) AS terms FROM w GROUP BY item_id")
+def doc_norms(spark, sf_dir):
+    return _weights(spark, sf_dir)[2].groupBy("item_id").agg(F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("norm"), F.count("*").alias("terms"))
+
+
+_SIM = "s AS (SELECT a.item_id AS q, b.item_id AS c, round(sum(a.w * b.w), 6) AS score FROM w a JOIN w b ON a.term = b.term AND a.item_id <> b.item_id GROUP BY ALL)"
+
+
+def _scores(spark, sf_dir):
+    w = _weights(spark, sf_dir)[2]
+    return tfidf.similarities(w.withColumnRenamed("item_id", "q"), w.withColumnRenamed("item_id", "c"), "q", "c").where("q <> c").withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_B}, {_TF}, {_SIM} SELECT q, c, score, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS r FROM s WHERE score > 0) WHERE r <= 3")
+def topk_match(spark, sf_dir):
+    return tfidf.top_k(_scores(spark, sf_dir), "q", "c", 3)
+
+
+@query(f"WITH {_B}, {_TF}, {_SIM} SELECT q, c, score, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS r FROM s WHERE score >= 0.05) WHERE r = 1")
+def threshold_match(spark, sf_dir):
+    return tfidf.top_k(_scores(spark, sf_dir), "q", "c", 1, 0.05)
+
+
+@query()
+def catalog_build(spark, sf_dir):
+    c = catalog.build(memory(spark, sf_dir).select("hash", "ata04", "text").dropDuplicates(["hash", "ata04"]), spark.createDataFrame([("21-26", "AIR")], "ATA04 string, Title string"))
+    return c.entries.select("ata04", "title", F.array_join("keywords", ";").alias("keywords"), F.array_join("samples", ";").alias("samples"))
+
+
+@query()
+def catalog_match(spark, sf_dir):
+    m = memory(spark, sf_dir)
+    c = catalog.build(m.select("hash", "ata04", "text").dropDuplicates(["hash", "ata04"]), spark.createDataFrame([("21-26", "AIR")], "ATA04 string, Title string"))
+    q = work_orders(spark, sf_dir).select("defect", F.lit("").alias("action")).distinct().withColumn("q", F.sha1(F.coalesce("defect", F.lit(""))))
+    return catalog.match(c, q, "q", "defect", "action", 1).select("q", "ata04", F.round("score", 6).alias("score"), "snippet")
+
+
+@query()
+def catalog_flat(spark, sf_dir):
+    e = hierarchy.code_titles(hierarchy.nodes(code_lines(spark, sf_dir))).select(F.col("ATA04").alias("ata04"), F.col("Title").alias("title"), F.array(F.col("ATA04")).alias("keywords"), F.array().cast("array<string>").alias("samples"))
+    return catalog.flatten_entries(e)
+
+
+@query(r"SELECT item_id, token, n, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, token) AS r FROM (SELECT item_id, token, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(regexp_replace(text, '[^\x00-\x7F]', '', 'g')), '[a-z0-9\-/.]{3,}')) AS token FROM benchmark) GROUP BY ALL)) WHERE r <= 12")
+def catalog_keywords_top12(spark, sf_dir):
+    return hierarchy.top_tokens(_bench(spark, sf_dir), "item_id", "text")
+
+
+# --- decisions ------------------------------------------------------------------------------------------------
+
+_MATRIX = """m AS (SELECT entered AS e0, CASE WHEN seq % 3 = 0 THEN entered WHEN seq % 3 = 1 THEN '32-41' END AS e1, CASE WHEN seq % 5 < 2 THEN entered WHEN seq % 5 = 2 THEN '32-41' END AS e2, (seq % 100) / 100.0 AS e2_score,
+ CASE seq % 4 WHEN 0 THEN 'TSM' WHEN 1 THEN 'IPC' WHEN 2 THEN 'AMM' ELSE 'UNKNOWN' END AS e1_source, seq, wo_id FROM wo),
+ d AS (SELECT *, e1 IS NOT NULL AS v FROM m),
+ r AS (SELECT *, CASE WHEN v AND e1 = e2 AND e0 IS NOT DISTINCT FROM e1 THEN 'CONFIRM:0.97' WHEN v AND e1 = e2 THEN 'CORRECT:0.95' WHEN e2 = e0 AND NOT v THEN 'CONFIRM:0.86' WHEN v AND e2 IS NULL THEN 'CONFIRM:0.92'
+  WHEN v AND e2 IS NOT NULL THEN 'REVIEW:' || CAST(round((CASE e1_source WHEN 'TSM' THEN 0.85 WHEN 'IPC' THEN 0.80 WHEN 'AMM' THEN 0.75 ELSE 0.70 END) * (CASE WHEN e2_score > 0.85 THEN 0.95 ELSE 1.0 END), 4)::DOUBLE AS VARCHAR)
+  WHEN e0 IS NOT NULL AND e1 IS NULL AND e2 IS NULL THEN 'REVIEW:0.5' ELSE 'REVIEW:0.55' END AS x FROM d),
+ z AS (SELECT *, split_part(x, ':', 1) AS decision, CAST(split_part(x, ':', 2) AS DOUBLE) AS confidence FROM r)"""
+
+
+def matrix(spark, sf_dir) -> DataFrame:
+    """Evidence in all combinations, from the rows' numbers."""
+    s = F.col("seq")
+    wo = work_orders(spark, sf_dir)
+    m = wo.select(
+        F.col("entered").alias("e0"),
+        F.when(s % 3 == 0, F.col("entered")).when(s % 3 == 1, "32-41").alias("e1"),
+        F.when(s % 5 < 2, F.col("entered")).when(s % 5 == 2, "32-41").alias("e2"),
+        ((s % 100) / 100.0).alias("e2_score"),
+        F.when(s % 4 == 0, "TSM").when(s % 4 == 1, "IPC").when(s % 4 == 2, "AMM").otherwise("UNKNOWN").alias("e1_source"),
+        "seq",
+        "wo_id",
+    )
+    return decision.decide_table(m.withColumn("e1_valid", F.col("e1").isNotNull()))
+
+
+@query(f", {_MATRIX} SELECT wo_id, decision, round(confidence, 4) AS confidence FROM z -- wo")
+def decide_matrix(spark, sf_dir):
+    return matrix(spark, sf_dir).select("wo_id", "decision", F.round("confidence", 4).alias("confidence"))
+
+
+@query(f""", {_MATRIX} SELECT wo_id, CASE WHEN decision = 'CONFIRM' THEN coalesce(e0, e1, e2) WHEN decision = 'CORRECT' THEN coalesce(e1, e2) WHEN e1_source IN ('TSM', 'IPC') AND e1 IS NOT NULL THEN e1
+ WHEN e2_score > 0.8 THEN coalesce(e2, e1, e0) ELSE coalesce(e1, e2, e0) END AS recommended, coalesce(e1, e2, e0) AS final FROM z -- wo""")
+def recommended_code(spark, sf_dir):
+    return matrix(spark, sf_dir).select("wo_id", "recommended", "final")
+
+
+@query(f""", {_MATRIX}, g AS (SELECT decision, CASE WHEN confidence > 0.90 THEN 'high' WHEN confidence >= 0.70 THEN 'medium' ELSE 'low' END AS band, e1_source AS source, confidence FROM z)
+ SELECT CASE WHEN grouping(decision) = 0 THEN 'decision' WHEN grouping(band) = 0 THEN 'band' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS kind, coalesce(decision, band, source, 'all') AS name, count(*) AS n,
+ round(avg(confidence), 4) AS avg_confidence FROM g GROUP BY GROUPING SETS ((decision), (band), (source), ()) -- wo""")
+def decision_stats(spark, sf_dir):
+    return decision.decision_stats(matrix(spark, sf_dir)).select("kind", "name", "n", F.round("avg_confidence", 4).alias("avg_confidence"))
+
+
+@query()
+def work_order_decisions(spark, sf_dir):
+    return decided(work_orders(spark, sf_dir)).select("wo_id", "technical", "e0", "e1", "e1_source", "decision", F.round("confidence", 4).alias("confidence"), "recommended")
+
+
+@query()
+def arbiter_candidates(spark, sf_dir):
+    m = matrix(spark, sf_dir).withColumn("technical", F.lit(True))
+    e2s = F.when(F.col("e2").isNotNull(), F.array(F.struct(F.col("e2").alias("ata04"), F.col("e2_score").alias("score"))))
+    unclear = decision.for_arbitration(m, "wo_id").select(F.col("wo_id").alias("row_id"), decision.candidates(F.col("e0"), F.col("e1"), e2s).alias("candidates"))
+    return decision.arbitrate(unclear)
