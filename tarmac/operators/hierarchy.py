@@ -16,7 +16,8 @@ FIRST_ENGINE_CHAPTER = 70
 
 def nodes(lines: DataFrame, text: str = "text", seq: str = "seq") -> DataFrame:
     """code, description, level, parent, seq of lines `code - description`; of a repeated code the last stands."""
-    parsed = lines.select(F.col(seq).alias("seq"), codes.parse_level(clean_map_text(F.col(text))).alias("p")).where("p is not null")
+    cleaned = lines.select(F.col(seq).alias("seq"), clean_map_text(F.col(text)).alias("t"))
+    parsed = cleaned.select("seq", codes.parse_level(F.col("t")).alias("p")).where("p is not null")
     one = parsed.groupBy(F.col("p.code").alias("code")).agg(F.max_by("p.description", "seq").alias("description"), F.max("p.level").alias("level"), F.min("seq").alias("seq"))
     return one.select("code", "description", "level", parent("code", "level").alias("parent"), "seq")
 
