@@ -46,6 +46,13 @@ def deal(docs: DataFrame, columns: list[str], n: int) -> DataFrame:
     return docs.select(block, *columns, "text").mapInArrow(run, ddl).repartition(n, "block")
 
 
+def arrow_fields(df: DataFrame, columns: list[str]) -> list[tuple[str, pa.DataType]]:
+    """Names and Arrow types of columns."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return [(c, to_arrow_type(df.schema[c].dataType)) for c in columns]
+
+
 def raw_texts(column) -> list[bytes]:
     """UTF-8 bytes of compressed texts."""
     import zstandard

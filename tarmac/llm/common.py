@@ -24,9 +24,7 @@ def shared_root(spark: SparkSession) -> str:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isDefined():
             return jsc.getCheckpointDir().get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if jsc.isLocal() is False:
+        if not jsc.isLocal():
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tarmac-")
         spark.sparkContext.setCheckpointDir(root)

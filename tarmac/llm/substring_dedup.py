@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, block_count, deal, grams, hashed, mix, raw_texts
+from .blocks import BLOCK_BYTES, arrow_fields, block_count, deal, grams, hashed, mix, raw_texts
 from .common import Workspace
 
 W = 35
@@ -269,23 +269,13 @@ def locate(dealt: DataFrame, windows: DataFrame, finish, schema: pa.Schema, colu
             out.append(pa.RecordBatch.from_arrays(arrays, [*columns, *schema.names]))
         return pa.Table.from_batches(out)
 
-    kinds = {c: t for c, t in dealt.dtypes}
+    kinds = dict(dealt.dtypes)
+    empty = pa.schema(arrow_fields(dealt, columns) + [(f.name, f.type) for f in schema]).empty_table()
     ddl = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"`{f.name}` {_DDL[f.type]}" for f in schema])
-    return dealt.groupBy("block").cogroup(windows.groupBy("block")).applyInArrow(_unless_empty(run, columns, schema, dealt), ddl)
+    return dealt.groupBy("block").cogroup(windows.groupBy("block")).applyInArrow(lambda left, right: run(left, right) if left.num_rows else empty, ddl)
 
 
 _DDL = {pa.int64(): "bigint", pa.string(): "string"}
-_ARROW = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}
-
-
-def _unless_empty(run, columns, schema, dealt):
-    kinds = {c: _ARROW.get(t, pa.string()) for c, t in dealt.dtypes}
-    empty = pa.schema([(c, kinds[c]) for c in columns] + [(f.name, f.type) for f in schema])
-
-    def go(left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(left, right) if left.num_rows else empty.empty_table()
-
-    return go
 
 
 def recurring_windows(ws: Workspace, dealt: DataFrame, w: int = W) -> DataFrame:
