@@ -96,7 +96,8 @@ def _class_keys(sets: list[np.ndarray]) -> np.ndarray:
     keys = np.zeros(len(sets), "u8")
     for i, s in enumerate(sets):
         if len(s):
-            keys[i] = mix(np.array([mix(s).sum(dtype="u8") + mix(mix(s ^ _U(0xA0761D6478BD642F))).sum(dtype="u8") * _U(0x9E3779B97F4A7C15) + _U(len(s))], "u8"))[0]
+            with np.errstate(over="ignore"):
+                keys[i] = mix(np.array([mix(s).sum(dtype="u8") + mix(mix(s ^ _U(0xA0761D6478BD642F))).sum(dtype="u8") * _U(0x9E3779B97F4A7C15) + _U(len(s))], "u8"))[0]
     return keys
 
 
@@ -152,7 +153,7 @@ def candidate_edges(classes: DataFrame, ws: Workspace, size_percent: int) -> Dat
     shared = keyed.select("key", "cls", F.count("*").over(per).alias("m"), F.min("cls").over(per).alias("first")).where("m > 1")
     shared = ws.write(shared, "shared")
     stars = shared.where((F.col("m") > MAX_BUCKET) & (F.col("cls") != F.col("first"))).select(F.col("cls").alias("u"), F.col("first").alias("v"))
-    small = shared.where(F.col("m") <= MAX_BUCKET).select("key", "cls").join(classes.select("cls", "n", "sketch"), "cls")
+    small = shared.where(F.col("m") <= MAX_BUCKET).select("key", "cls").join(classes.select("cls", "n", "sketch").hint("merge"), "cls")
 
     def run(t: pa.Table) -> pa.Table:
         cls = t.column("cls").to_numpy()
@@ -205,7 +206,8 @@ def confirmed_edges(docs: DataFrame, cells: DataFrame, ws: Workspace, percent: i
     sizes = cells.groupBy("cell").agg(F.count("*").alias("m"))
     k = F.ceil(F.col("m") / CELL_BLOCK).cast("int")
     blocks = cells.join(ws.write(sizes, "sizes"), "cell").select("cls", "doc_id", "cell", k.alias("k"), F.pmod(F.xxhash64("cls"), k).cast("int").alias("b"))
-    texts = ws.write(docs.select("doc_id", "text").join(ws.write(blocks, "blocks"), "doc_id"), "cell-texts")
+    # Cells grow with the corpus: always a merge join, whose cost is the same share of the input at every size.
+    texts = ws.write(docs.select("doc_id", "text").join(ws.write(blocks, "blocks").hint("merge"), "doc_id"), "cell-texts")
     lo, hi = F.least("b", "o"), F.greatest("b", "o")
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -270,6 +272,6 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One document of each near-duplicate group, with the columns of docs; rows with a null doc_id stay."""
     ids = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()
     ids = Workspace(docs.sparkSession, "minhash-kept").write(ids, "ids")
-    left = docs.join(ids, "doc_id", "left_semi")
+    left = docs.join(ids.hint("merge"), "doc_id", "left_semi")
     one = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
     return left.withColumn("_one", one).where("_one = 1").select(docs.columns).unionByName(docs.where("doc_id is null"))
