@@ -33,9 +33,15 @@ def unstructured(cells: DataFrame) -> DataFrame:
     return titled.select("ata2", "ata4", "ata6", "title", rest.alias("description"), "path", "sheet", "row", seq.alias("seq")).where("ata2 is not null or ata4 is not null or ata6 is not null")
 
 
+def map_sheet(spark: SparkSession, path: str) -> str | None:
+    """The first of MAP_SHEETS that the workbook has, else None for its first sheet."""
+    have = {r["sheet"] for r in xlsx.read_cells(spark, path).select("sheet").distinct().collect()}
+    return next((s for s in MAP_SHEETS if s in have), None)
+
+
 def code_map(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
     """ATA04, Title of a workbook's code column (or the first whose values are codes)."""
-    df = with_clean_names(xlsx.read(spark, path))
+    df = with_clean_names(xlsx.read(spark, path, map_sheet(spark, path)))
     if column is None:
         probe = df.limit(10).select([F.count_if(clean_map_text(F.col(f"`{c}`")).rlike(r"^\d{2}")).alias(c) for c in df.columns]).head()
         column = next((c for c in df.columns if probe[c]), df.columns[0])

@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tarmac.operators import cache, catalog, decision, detect, hierarchy, store, tfidf
+from tarmac.operators import cache, catalog, decision, detect, hierarchy, maintenance, store, tfidf
 from tarmac.sources import files, xlsx
 from tarmac.streaming import ingest, progress
 
@@ -121,3 +121,26 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(out).count() == 1
     seen = []
     assert list(progress.tracked([1, 2], 2, lambda p: seen.append(p.percent))) == [1, 2] and seen == [50.0, 100.0]
+
+
+def test_maintenance(spark, tmp_path):
+    table = str(tmp_path / "map")
+    store.append_map(spark, spark.createDataFrame([("21-26", "A")], store.MAP), table)
+    assert maintenance.backup(spark, {"map": table, "none": str(tmp_path / "none")}, str(tmp_path / "b")) == ["map"]
+    store.append_map(spark, spark.createDataFrame([("32-41", "B")], store.MAP), table)
+    assert maintenance.rollback(spark, str(tmp_path / "b")) == ["map"] and spark.read.parquet(table).count() == 1
+    assert maintenance.integrity(spark.read.parquet(table), {"ATA04", "x"}).head()["missing"] == "x"
+    cases = spark.createDataFrame([("AMM 21-26-40", "21-26"), ("CMM 21-26-40", None), ("none", "21-26")], "text string, expected string")
+    assert tuple(maintenance.citation_tally(cases).head()) == (2, 1)
+
+
+def test_enrich(spark, tmp_path):
+    path = str(tmp_path / "map.xlsx")
+    xlsx.write(spark.createDataFrame([("79 - OIL",), ("79-32 - PUMP",)], "Code string"), path, "ATA")
+    code_map = files.code_map(spark, path)
+    assert [tuple(r) for r in code_map.collect()] == [("79-32", "OIL - PUMP")]
+    records = spark.createDataFrame([(None, "79-32", None, "PUMP", "oil pump", 1), (None, None, "79-32-10", "SHAFT", "", 2)], "ata2 string, ata4 string, ata6 string, title string, description string, seq long")
+    items = maintenance.enrich(records, code_map, spark.createDataFrame([("79-32", "leak seen")], "ata4 string, text string"))
+    got = items.collect()
+    assert sorted(r["engine_type"] for r in got) == ["IAE", "PW11"] and {r["name"] for r in got} == {"OIL - PUMP"} and "leak" in got[0]["keywords"]
+    assert '"count":2' in hierarchy.enriched_json(items).head()["value"]
