@@ -65,6 +65,11 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def char_table() -> dict[int, str]:
+    """str.translate table from bytes, as Latin-1 characters, to the characters of byte-level pieces."""
+    return {b: c for c, b in byte_of_char().items()}
+
+
 @lru_cache(2)
 def pieces(path: str) -> list[bytes]:
     """Bytes of each id of a byte-level vocabulary; added tokens stand for their text."""
@@ -90,17 +95,33 @@ def split_words(text: str) -> list[str]:
     return _CUT.split(text)
 
 
+#: Letters, or marks without the apostrophe, after at most one space: one stretch of the tokenizer's own splitting.
+_PLAIN = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+)|\n").fullmatch
+_SPECIAL = re.compile(r"<\|")
+
+
 class WordIds(dict):
-    """word -> ids as little-endian 32-bit numbers, each encoded once."""
+    """word -> ids as little-endian 32-bit numbers, each encoded once.
+
+    A word that is one stretch goes to the tokenizer's model at once; all others go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer = load(path)
+        self.tokenizer, self.chars = load(path), char_table()
+        self.model = self.tokenizer.model
 
     def learn(self, words) -> None:
         if len(self) > CACHE_WORDS:
             self.clear()
-        new = [w for w in words if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        other = []
+        for w in words:
+            if w not in self:
+                if _PLAIN(w) and not _SPECIAL.search(w):
+                    mapped = w.encode().decode("latin-1").translate(self.chars)
+                    self[w] = np.array([k.id for k in self.model.tokenize(mapped)], "<u4").tobytes()
+                else:
+                    other.append(w)
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self[w] = np.array(e.ids, "<u4").tobytes()
 
 
