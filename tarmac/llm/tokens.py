@@ -117,7 +117,10 @@ class WordIds(dict):
         for w in words:
             if w not in self:
                 if _PLAIN(w) and not _SPECIAL.search(w):
-                    mapped = w.encode().decode("latin-1").translate(self.chars)
+                    if w.isascii():  # printable characters stand for themselves, a space and a line's end have their own
+                        mapped = w.replace(" ", self.chars[0x20]).replace("\n", self.chars[0x0A])
+                    else:
+                        mapped = w.encode().decode("latin-1").translate(self.chars)
                     self[w] = np.array([k.id for k in self.model.tokenize(mapped)], "<u4").tobytes()
                 else:
                     other.append(w)
