@@ -5,11 +5,11 @@
 2. Windows with a recurring anchor are hashed whole (128 bits) and counted over the corpus: recurring windows.
 3. Each block of documents gets the recurring windows it holds. What stands at the first place of a window
    within the block makes up its passages; their stretches go into the block's own Aho-Corasick automaton
-   over words, and all documents of the block are streamed through it. A hit is extended word by word along the
-   passage; an extent of W words or more is an occurrence, and its words are removed.
+   over words, and all documents of the block are streamed through it. A hit is half a window, word for word;
+   the windows around it that are among the recurring ones are occurrences, and their words are removed.
 
 Every step is keyed by hashes or blocks; a passage in a third of all documents adds one row for each block.
-Windows are judged on the input. The words compared in step 3 are the words themselves.
+Windows are judged on the input. Periodic texts cost no more than others: places are marked once.
 
 Defined results: null and empty texts have no words and lose none; repeated rows are occurrences of each other;
 null doc_id passes through; an empty table gives an empty table; only doc_id, text and the columns asked for
@@ -19,6 +19,7 @@ are read.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -163,61 +164,56 @@ def _spelled(words: np.ndarray) -> str:
     return out.tobytes().decode("utf-32-le")
 
 
+class Numbers(dict):
+    """word -> its number in the block's passages; 0 for words of no passage."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
 class Passages:
-    """Recurring passages of one block, their automaton over word numbers, and the search for occurrences."""
+    """Automaton over the words of one block's recurring passages."""
 
     def __init__(self, w: int):
         import ahocorasick
 
         self.w, self.step = w, w // 2 + 1
         self.auto = ahocorasick.Automaton()
-        self.texts: list[np.ndarray] = []
+        self.numbers = Numbers()
 
-    def add(self, words: np.ndarray) -> None:
+    def add(self, words: list[bytes]) -> None:
         """A passage: stretches of half a window at every half window go into the automaton, so that each window holds one."""
-        k, p, spelled = self.step, len(self.texts), _spelled(words)
-        self.texts.append(words)
-        for at in range(0, len(words) - k + 1, k):
-            key = spelled[3 * at : 3 * (at + k)]
-            seeds = self.auto.get(key, None)
-            if seeds is None:
-                self.auto.add_word(key, [(p, at)])
-            else:
-                seeds.append((p, at))
+        n = self.numbers
+        spelled = _spelled(np.array([n.get(x) or n.setdefault(x, len(n) + 1) for x in words], "i8"))
+        for at in range(0, len(words) - self.step + 1, self.step):
+            self.auto.add_word(spelled[3 * at : 3 * (at + self.step)], True)
 
     def compile(self) -> None:
-        if self.texts:
+        if len(self.auto):
             self.auto.make_automaton()
 
-    def covered(self, words: np.ndarray) -> np.ndarray:
-        """Which words lie in an occurrence of w or more consecutive words of a passage."""
-        hit = np.zeros(len(words), bool)
-        if not self.texts or len(words) < self.w:
-            return hit
-        done: dict[tuple[int, int], int] = {}
-        for end, seeds in self.auto.iter(_spelled(words)):
-            end //= 3
-            at = end - self.step + 1
-            for p, off in seeds:
-                line = (p, at - off)
-                if done.get(line, -1) >= end:
-                    continue
-                a, b = self._extent(words, self.texts[p], at, off)
-                done[line] = b - 1
-                if b - a >= self.w:
-                    hit[a:b] = True
-        return hit
-
-    def _extent(self, words: np.ndarray, text: np.ndarray, at: int, off: int) -> tuple[int, int]:
-        left = min(at, off)
-        same = words[at - left : at][::-1] == text[off - left : off][::-1]
-        a = at - (left if same.all() else int(np.argmin(same)))
-        right = min(len(words) - at, len(text) - off)
-        same = words[at : at + right] == text[off : off + right]
-        return a, at + (right if same.all() else int(np.argmin(same)))
-
-
-def _passages(parts, known: np.ndarray, w: int, number: dict) -> Passages:
+    def places(self, split: list[list[bytes]], total: int) -> np.ndarray:
+        """Windows, by their first word over all texts in a row, that hold a stretch of a passage word for word."""
+        if not len(self.auto):
+            return np.zeros(total, bool)
+        words = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), "i8", total)
+        ends = np.array([e for e, _ in self.auto.iter(_spelled(words))], "i8") // 3
+        edge = np.zeros(total + 1, "i4")
+        np.add.at(edge, np.maximum(ends - self.w + 1, 0), 1)
+        np.subtract.at(edge, np.maximum(ends - self.step + 2, 0), 1)
+        return np.cumsum(edge[:-1]) > 0
+
+
+def _covered(windows: np.ndarray, w: int) -> np.ndarray:
+    """Words of the windows that start at the marked places."""
+    edge = np.zeros(len(windows) + w + 1, "i4")
+    at = np.flatnonzero(windows)
+    np.add.at(edge, at, 1)
+    np.subtract.at(edge, at + w, 1)
+    return np.cumsum(edge)[: len(windows)] > 0
+
+
+def _passages(parts, known: np.ndarray, w: int) -> Passages:
     """Passages at the first place within the block of every recurring window."""
     found, met = Passages(w), np.empty(0, "u8")
     for part in parts:
@@ -242,7 +238,7 @@ def _passages(parts, known: np.ndarray, w: int, number: dict) -> Passages:
             d = int(owner[s])
             ws = words.get(d) or words.setdefault(d, part[d].split())
             o = int(begin[d])
-            found.add(np.array([number.setdefault(x, len(number) + 1) for x in ws[s - o : e - o]], "i8"))
+            found.add(ws[s - o : e - o])
     found.compile()
     return found
 
@@ -252,22 +248,24 @@ def locate(dealt: DataFrame, windows: DataFrame, finish, schema: pa.Schema, colu
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known = np.unique(right.column("a").to_numpy().view("u8"))
-        number: dict[bytes, int] = {}
-        passages = _passages(_group_parts(left), known, w, number) if len(known) else Passages(w)
-        out = []
-        for chunk in left.to_batches(max_chunksize=512):
-            rows = []
-            for raw in raw_texts(chunk.column("z")):
-                words = raw.split()
-                if passages.texts and len(words) >= w:
-                    covered = passages.covered(np.array([number.get(x, 0) for x in words], "i8"))
-                else:
-                    covered = np.zeros(len(words), bool)
-                rows.append(finish(raw, words, covered))
-            cols = list(zip(*rows, strict=True))
-            arrays = [chunk.column(c) for c in columns] + [pa.array(v, f.type) for v, f in zip(cols, schema, strict=True)]
-            out.append(pa.RecordBatch.from_arrays(arrays, [*columns, *schema.names]))
-        return pa.Table.from_batches(out)
+        passages = _passages(_group_parts(left), known, w) if len(known) else Passages(w)
+        rows = []
+        for part in _group_parts(left):
+            split = [t.split() for t in part]
+            h, sizes = hashed(part)
+            windows = passages.places(split, len(h)) if len(known) else np.zeros(len(h), bool)
+            if windows.any():
+                keys, _ = window_keys(h, w)
+                windows[len(keys) :] = False
+                at = np.flatnonzero(windows[: len(keys)] & _places(sizes, len(keys), w))
+                windows[:] = False
+                windows[at[np.isin(keys[at], known)]] = True
+            gone = _covered(windows, w)
+            ends = np.cumsum(sizes)
+            rows += [finish(raw, words, gone[e - len(words) : e]) for raw, words, e in zip(part, split, ends.tolist(), strict=True)]
+        cols = list(zip(*rows, strict=True))
+        arrays = [left.column(c) for c in columns] + [pa.array(v, f.type) for v, f in zip(cols, schema, strict=True)]
+        return pa.Table.from_arrays(arrays, [*columns, *schema.names])
 
     kinds = dict(dealt.dtypes)
     empty = pa.schema(arrow_fields(dealt, columns) + [(f.name, f.type) for f in schema]).empty_table()

@@ -160,7 +160,6 @@ def test_split_words_random(seed):
         assert "".join(words) == text
         assert np.frombuffer(b"".join(known[w] for w in words), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
         words = packing._split(text)
-        pw.learn(words)
         assert np.frombuffer(b"".join(pw[w] for w in words), "<u2").tolist() == pw.t.encode(text, add_special_tokens=False).ids
 
 
