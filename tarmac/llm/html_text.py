@@ -1,7 +1,8 @@
 """Main text of web pages, with site templates found by counting element subtrees per host.
 
-1. Every page's container elements outside its article are hashed with all they hold, and (host, hash) pairs
-   are counted over pages in Spark.
+1. Every page's block elements, those inside its article too, are hashed with all they hold, and (host, hash)
+   pairs are counted over pages in Spark. Only the main element itself and what it stands in are spared, and
+   table cells inside it, which say nothing alone (their rows and tables are counted).
 2. A subtree on MIN_PAGES pages and MIN_SHARE of the host's pages or more is template, and is deleted from the
    pages of that host. A page has few containers, so that a host has at most (containers of a page / MIN_SHARE)
    template hashes on average, however many pages it has.
@@ -45,7 +46,11 @@ BLOCK = frozenset(
 ENDS_P = BLOCK - {"br", "body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "option", "optgroup"}
 #: A start tag ends open elements of these kinds, up to the nearest container.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-CONTAINERS = frozenset("div section ul ol dl table nav aside header footer form menu details figure".split())
+#: What may be a template.
+COUNTED = BLOCK - {"html", "head", "body", "br", "hr"}
+CELLS = frozenset(("td", "th"))
+_PRIME = (1 << 61) - 1
+_BASE = 0x1B873593CC9E2D51 % _PRIME
 SKIP = frozenset("nav footer aside form button select option dialog menu head object canvas audio video map fieldset datalist".split()) | RAW
 #: Words of class, id or role that mark what isn't article text.
 MARKED = frozenset(
@@ -75,23 +80,34 @@ class Page:
 
     def __init__(self, source: str):
         self.source = source
-        #: (start, end, has or is in main) of container elements.
-        self.containers: list[tuple[int, int, bool]] = []
+        #: (tag, start, end, hash, is outermost main, holds main) of block elements that aren't unwanted.
+        self.elements: list[tuple[str, int, int, int, bool, bool]] = []
         #: (at, text or None for a block's edge, in main, unwanted)
         self.pieces: list[tuple[int, str | None, bool, bool]] = []
         self.has_main = False
+        self.mains = self.articles = 0
         self._read()
 
     def _read(self) -> None:
-        s, at, stack = self.source, 0, []  # stack: [tag, start, in main, unwanted, holds main]
+        s, at, stack = self.source, 0, []  # stack: [tag, start, in main, unwanted, holds main, is outermost main, hash before, length before]
         main = bad = False
+        h = n = 0  # polynomial hash and number of the tokens so far, so that any stretch's hash is one subtraction
+        powers = [1]
+
+        def token(a: int, b: int) -> None:
+            nonlocal h, n
+            words = s[a:b].split()
+            if words:
+                h = (h * _BASE + xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))) % _PRIME
+                n += 1
+                powers.append(powers[-1] * _BASE % _PRIME)
 
         def close(i: int, end: int) -> None:
             nonlocal main, bad
             while len(stack) > i:
-                tag, start, in_main, _, holds = stack.pop()
-                if tag in CONTAINERS:
-                    self.containers.append((start, end, in_main or holds))
+                tag, start, in_main, wrong, holds, outermost, h0, n0 = stack.pop()
+                if tag in COUNTED and not wrong:
+                    self.elements.append((tag, start, end, (h - h0 * powers[n - n0]) % _PRIME, outermost, holds and not in_main))
                 if holds and stack:
                     stack[-1][4] = True
             main, bad = (stack[-1][2], stack[-1][3]) if stack else (False, False)
@@ -105,14 +121,17 @@ class Page:
                 break
             if m.start() > at:
                 self.pieces.append((at, s[at : m.start()], main, bad))
+                token(at, m.start())
             at = m.end()
             if m[2] is None:
+                token(m.start(), at)
                 continue
             tag = m[2].lower()
             if m[1]:
                 i = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
                 if tag in BLOCK:
                     edge(m.start())
+                token(m.start(), at)
                 if i >= 0:
                     close(i, at)
                 continue
@@ -121,21 +140,28 @@ class Page:
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(s, at)
                 at = end.end() if end else len(s)
+                token(m.start(), at)
                 continue
             if tag in ENDS_P:
                 self._end(stack, ("p",), close, m.start())
             if tag in ENDS:
                 self._end(stack, ENDS[tag], close, m.start())
+            h0, n0 = h, n
+            token(m.start(), at)
             if tag in VOID or m[3].endswith("/"):
                 continue
             attrs = _attributes(m[3])
             wrong = bad or _unwanted(tag, attrs, main)
             inside = main or (tag in ("article", "main") or attrs.get("role") == "main") and not wrong
-            stack.append([tag, m.start(), inside, wrong, inside])
+            outermost = inside and not main
+            stack.append([tag, m.start(), inside, wrong, inside, outermost, h0, n0])
+            self.mains += outermost
+            self.articles += inside and tag == "article"
             self.has_main |= inside
             main, bad = inside, wrong
         if at < len(s):
             self.pieces.append((at, s[at:], main, bad))
+            token(at, len(s))
         close(0, len(s))
 
     @staticmethod
@@ -148,11 +174,16 @@ class Page:
                 return
 
     def subtrees(self) -> dict[int, list[tuple[int, int]]]:
-        """Hash of each container outside the main elements: where it stands."""
+        """Hash of each element that may be a template: where it stands.
+
+        Spared are elements around a main one, the main one itself and the only article in it. With several
+        main ones, such as teasers in a row, none is the page's own.
+        """
         found: dict[int, list[tuple[int, int]]] = {}
-        for a, b, in_main in self.containers:
-            if not in_main:
-                found.setdefault(xxhash.xxh3_64_intdigest(" ".join(self.source[a:b].split()).encode("utf-8", "surrogatepass")) - (1 << 63), []).append((a, b))
+        for tag, a, b, h, outermost, around in self.elements:
+            if around or (outermost and self.mains == 1) or (tag == "article" and self.articles == 1) or (tag in CELLS and self.has_main):
+                continue
+            found.setdefault(h, []).append((a, b))
         return found
 
     def text(self, templates: frozenset | set = frozenset()) -> str:

@@ -204,6 +204,13 @@ def test_html(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got) and html_text.main_texts(d.where("1=0")).count() == 0
 
 
+def test_html_templates_inside_the_article(spark):
+    box = '<div class="box"><h2>More</h2>Read <a href="/x">this</a></div>'
+    rows = [(i, f"http://h.c/{i}", f"<body><article><h1>Title {i}</h1>{box}<p>Story {i}<p>Follow us<ul><li>item {i}<li>Print</ul></article></body>") for i in range(6)]
+    got = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"Title {i} Story {i} item {i}" for i in range(6)}
+
+
 def test_urls(spark):
     rows = [
         (1, "https://www.Example.com/en/1", None), (2, "http://x.example.com/en/2", ""), (3, "http://a.net/es/?q", "<p>"), (4, None, None), (5, "nothing", ""), (6, "http://x.org/a#f", '<link rel="canonical" href="http://a.net/fr/z">'),
