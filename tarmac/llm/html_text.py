@@ -1,16 +1,17 @@
 """Main text of web pages, with site templates found by counting element subtrees per host.
 
 1. Every page's block elements, those inside its article too, are hashed with all they hold, and (host, hash)
-   pairs are counted over pages in Spark. Only the main element itself and what it stands in are spared, and
+   pairs are counted in Spark. Only the main element itself and what it stands in are spared, and
    table cells inside it, which say nothing alone (their rows and tables are counted).
-2. A subtree on MIN_PAGES pages and MIN_SHARE of the host's pages or more is template, and is deleted from the
-   pages of that host. A page has few containers, so that a host has at most (containers of a page / MIN_SHARE)
-   template hashes on average, however many pages it has.
+2. A subtree that stands beside MIN_DISTINCT different texts on a host's pages is template, and is deleted from
+   the pages of that host. What counts is the main text outside the subtree, so that copies of a page count
+   once, and a text that fills its page is never a template; how many pages a host has doesn't matter.
+   Templates reach pages by (host, hash), whatever number of them a host has.
 3. What is left loses scripts, navigation, forms, adverts, notices and reader comments by element and by the
    words of class, id and role; if the page has an article or main element, only that counts.
 
 Defined results: null and empty html give an empty text; a page without a host has no templates; repeated rows
-count as pages and are extracted alike; unclosed and stray tags are read as browsers do, roughly; an empty
+count once and are extracted alike; unclosed and stray tags are read as browsers do, roughly; an empty
 table gives an empty table; only page_id, url and html are read.
 """
 
@@ -18,18 +19,19 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, slices
 from .url_filters import host_of
 
-MIN_PAGES = 5
-MIN_SHARE = 0.1
+#: Different main texts beside a subtree that make it a template.
+MIN_DISTINCT = 5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*'|["'])*)(?:>|(?=<)|\Z)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -186,6 +188,22 @@ class Page:
             found.setdefault(h, []).append((a, b))
         return found
 
+    def bodies(self) -> set[tuple[int, int]]:
+        """(hash of an element, hash of the main text outside it); elements without main or wanted text don't occur."""
+        at = [p[0] for p in self.pieces]
+        words = [None if t is None or bad else " ".join(html.unescape(t).split()) for _, t, _, bad in self.pieces]
+        hashes = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) if w else 0 for w in words]
+        # Sums over the pieces up to each: of what is shown, and of what holds any text.
+        shown = [0, *accumulate(h if in_main or not self.has_main else 0 for h, (_, _, in_main, _) in zip(hashes, self.pieces, strict=True))]
+        filled = [0, *accumulate(map(bool, hashes))]
+        found = set()
+        for h, places in self.subtrees().items():
+            spans = [(i, j) for i, j in ((bisect_left(at, a), bisect_left(at, b)) for a, b in places) if filled[j] > filled[i]]
+            if spans:
+                outside = shown[-1] - sum(shown[j] - shown[i] for i, j in spans)
+                found.add((h, (outside & (1 << 64) - 1) - (1 << 63)))
+        return found
+
     def text(self, templates: frozenset | set = frozenset()) -> str:
         """Main text without template subtrees."""
         gone = sorted(p for h, places in self.subtrees().items() if h in templates for p in places) if templates else []
@@ -201,45 +219,46 @@ class Page:
         return " ".join("".join(out).split())
 
 
-def subtree_counts(pages: DataFrame) -> DataFrame:
-    """host, hash, n: pages of the host that hold the subtree; hash null: pages of the host."""
+def _page() -> Column:
+    """Stands for a row; repeated rows have the same."""
+    return F.xxhash64("page_id", "url", "html")
+
+
+def subtrees(pages: DataFrame) -> DataFrame:
+    """host, page, hash, body: each element of each page with a hash of the main text outside it."""
 
     def run(batches):
         for b in slices(batches, "html"):
-            counts: Counter = Counter()
-            for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                counts[host, None] += 1
-                counts.update((host, h) for h in Page(source or "").subtrees())
-            rows = list(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.int64()), pa.array([counts[r] for r in rows], pa.int64())], ["host", "hash", "n"])
+            rows = [(host, page, *x) for host, page, source in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html")), strict=True) for x in Page(source).bodies()]
+            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["host", "page", "hash", "body"])
 
-    hosted = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> ''")
-    return hosted.mapInArrow(run, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
+    hosted = pages.select(host_of(F.col("url")).alias("host"), _page().alias("page"), "html").where("host <> '' and html <> ''")
+    return hosted.mapInArrow(run, "host string, page long, hash long, body long")
 
 
-def templates(counts: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hashes of its template subtrees."""
-    total = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    often = counts.where((F.col("hash").isNotNull()) & (F.col("n") >= min_pages)).join(total, "host").where(F.col("n") >= min_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+def templates(found: DataFrame, min_distinct: int = MIN_DISTINCT) -> DataFrame:
+    """host, hash of template subtrees."""
+    return found.select("host", "hash", "body").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_distinct).select("host", "hash")
 
 
-def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_texts(pages: DataFrame, min_distinct: int = MIN_DISTINCT) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    The templates of all hosts are written first: Spark broadcasts them if their file is small, and joins by
-    host otherwise, where a large host's partition can be split.
+    Spark broadcasts written tables if they are small, and merges otherwise, where a partition can be split.
     """
     ws = Workspace(pages.sparkSession, "html-text")
-    counts = ws.write(subtree_counts(pages), "subtrees")
-    known = ws.write(templates(counts, min_pages, min_share), "templates")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    found = ws.write(subtrees(pages), "subtrees")
+    known = ws.write(templates(found, min_distinct), "templates")
+    own = ws.write(found.select("host", "page", "hash").join(known, ["host", "hash"], "left_semi").groupBy("page").agg(F.collect_set("hash").alias("hashes")), "page-templates")
 
     def run(batches):
         for b in slices(batches, "html"):
             texts = [Page(s).text(set(t or ())) if s else "" for s, t in zip(b.column("html").to_pylist(), b.column("hashes").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host")).join(known, "host", "left").select("page_id", "url", "html", "hashes")
+    joined = pages.withColumn("page", _page()).join(own, "page", "left").select("page_id", "url", "html", "hashes")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -211,6 +211,15 @@ def test_html_templates_inside_the_article(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: f"Title {i} Story {i} item {i}" for i in range(6)}
 
 
+def test_html_copies_and_large_hosts(spark):
+    copy = '<body><div class="content"><p>The whole text</p></div></body>'
+    rare = '<div class="box">In this section</div>'
+    rows = [(i, f"http://c.c/{i}", copy) for i in range(8)] + [(100 + i, "http://h.c/x", f"<body>{rare if i < 6 else ''}<div>Story {i}</div></body>") for i in range(80)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == ["The whole text"] * 8
+    assert [got[100 + i] for i in range(80)] == [f"Story {i}" for i in range(80)]
+
+
 def test_urls(spark):
     rows = [
         (1, "https://www.Example.com/en/1", None), (2, "http://x.example.com/en/2", ""), (3, "http://a.net/es/?q", "<p>"), (4, None, None), (5, "nothing", ""), (6, "http://x.org/a#f", '<link rel="canonical" href="http://a.net/fr/z">'),
