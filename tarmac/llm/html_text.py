@@ -8,7 +8,8 @@
    once, and a text that fills its page is never a template; how many pages a host has doesn't matter.
    Templates reach pages by (host, hash), whatever number of them a host has.
 3. What is left loses scripts, navigation, forms, adverts, notices and reader comments by element and by the
-   words of class, id and role; if the page has an article or main element, only that counts.
+   tokens of class, id and role, unless such an element holds the only article of the page or most of its
+   text outside links; if the page has an article or main element, only that counts.
 
 Defined results: null and empty html give an empty text; a page without a host has no templates; repeated rows
 count once and are extracted alike; unclosed and stray tags are read as browsers do, roughly; an empty
@@ -35,7 +36,7 @@ MIN_DISTINCT = 5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*'|["'])*)(?:>|(?=<)|\Z)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text to the end tag, and never main text.
@@ -66,15 +67,39 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw and not raw.isspace() else {}
 
 
-def _unwanted(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
-    if tag in SKIP or (tag == "header" and not in_main):
-        return True
+#: Unwanted elements that page builders also put around everything: HOLDS if an article may stand in them only,
+#: FULL if most of the page's text may as well.
+HOLDS = frozenset("nav footer aside dialog menu".split())
+FULL = frozenset("form fieldset header".split())
+#: Parts of class names that say nothing: ad-box, comments-area.
+FRAME = frozenset("area bar block box container inner list outer section wrap wrapper".split())
+#: Marks that stay unwanted however much text they hold.
+FIRM = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr popup modal overlay paywall comment comments disqus reply replies".split())
+
+
+def _marks(attrs: dict[str, str]) -> set[str]:
+    """Marks among the tokens of class, id and role: all parts of a token must be marks, or marks and FRAME."""
+    found: set[str] = set()
+    for token in " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower().split():
+        parts = {p for p in _PART.findall(token) if len(p) > 1}
+        if parts <= MARKED | FRAME:
+            found |= parts & MARKED
+    return found
+
+
+def _unwanted(tag: str, attrs: dict[str, str], in_main: bool) -> str:
+    """'' if wanted, else 'always', or 'holds' or 'full' for what can make it wanted all the same."""
+    hidden = attrs and tag not in ("html", "body", "main") and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")))
+    if hidden or tag in SKIP - HOLDS - FULL:
+        return "always"
+    if tag in HOLDS:
+        return "holds"
+    if tag in FULL and (tag != "header" or not in_main):
+        return "full"
     if tag in ("html", "body", "main") or not attrs:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    words = _WORD.findall(" ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower())
-    return not MARKED.isdisjoint(words)
+        return ""
+    marks = _marks(attrs)
+    return "" if not marks else "full" if FIRM.isdisjoint(marks) else "holds"
 
 
 class Page:
@@ -82,17 +107,26 @@ class Page:
 
     def __init__(self, source: str):
         self.source = source
+        self._start()
+        forgiven = self._read(frozenset())
+        if forgiven:
+            self._start()
+            self._read(forgiven)
+
+    def _start(self) -> None:
         #: (tag, start, end, hash, is outermost main, holds main) of block elements that aren't unwanted.
         self.elements: list[tuple[str, int, int, int, bool, bool]] = []
         #: (at, text or None for a block's edge, in main, unwanted)
         self.pieces: list[tuple[int, str | None, bool, bool]] = []
         self.has_main = False
         self.mains = self.articles = 0
-        self._read()
 
-    def _read(self) -> None:
-        s, at, stack = self.source, 0, []  # stack: [tag, start, in main, unwanted, holds main, is outermost main, hash before, length before]
-        main = bad = False
+    def _read(self, forgiven: frozenset[int]) -> frozenset[int]:
+        """Read the page; starts of unwanted elements that should be forgiven in a second reading."""
+        s, at, stack = self.source, 0, []  # stack: [tag, start, in main, unwanted, holds main, is outermost main, hash before, length before, always unwanted, why, amount before, mains before]
+        main = bad = never = False
+        amount = lost = links = 0  # letters outside links that aren't always unwanted, mains in unwanted elements, open links
+        soft: list[tuple[int, str, int, int]] = []
         h = n = 0  # polynomial hash and number of the tokens so far, so that any stretch's hash is one subtraction
         powers = [1]
 
@@ -105,14 +139,17 @@ class Page:
                 powers.append(powers[-1] * _BASE % _PRIME)
 
         def close(i: int, end: int) -> None:
-            nonlocal main, bad
+            nonlocal main, bad, never, links
             while len(stack) > i:
-                tag, start, in_main, wrong, holds, outermost, h0, n0 = stack.pop()
+                tag, start, in_main, wrong, holds, outermost, h0, n0, _, why, amount0, lost0 = stack.pop()
+                links -= tag == "a"
+                if why:
+                    soft.append((start, why, amount - amount0, lost - lost0))
                 if tag in COUNTED and not wrong:
                     self.elements.append((tag, start, end, (h - h0 * powers[n - n0]) % _PRIME, outermost, holds and not in_main))
                 if holds and stack:
                     stack[-1][4] = True
-            main, bad = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+            main, bad, never = (stack[-1][2], stack[-1][3], stack[-1][8]) if stack else (False, False, False)
 
         def edge(where: int) -> None:
             self.pieces.append((where, None, main, bad))
@@ -124,6 +161,8 @@ class Page:
             if m.start() > at:
                 self.pieces.append((at, s[at : m.start()], main, bad))
                 token(at, m.start())
+                if not (never or links):
+                    amount += len("".join(s[at : m.start()].split()))
             at = m.end()
             if m[2] is None:
                 token(m.start(), at)
@@ -153,10 +192,15 @@ class Page:
             if tag in VOID or m[3].endswith("/"):
                 continue
             attrs = _attributes(m[3])
-            wrong = bad or _unwanted(tag, attrs, main)
-            inside = main or (tag in ("article", "main") or attrs.get("role") == "main") and not wrong
+            why = "" if m.start() in forgiven else _unwanted(tag, attrs, main)
+            wrong = bad or why != ""
+            is_main = tag in ("article", "main") or attrs.get("role") == "main"
+            inside = main or is_main and not wrong
             outermost = inside and not main
-            stack.append([tag, m.start(), inside, wrong, inside, outermost, h0, n0])
+            stack.append([tag, m.start(), inside, wrong, inside, outermost, h0, n0, never or why == "always", "" if why == "always" else why, amount, lost])
+            never = stack[-1][8]
+            links += tag == "a"
+            lost += is_main and wrong and not never
             self.mains += outermost
             self.articles += inside and tag == "article"
             self.has_main |= inside
@@ -164,7 +208,10 @@ class Page:
         if at < len(s):
             self.pieces.append((at, s[at:], main, bad))
             token(at, len(s))
+            if not (never or links):
+                amount += len("".join(s[at:].split()))
         close(0, len(s))
+        return frozenset(start for start, why, n_own, mains in soft if (mains and not self.has_main) or (why == "full" and 2 * n_own > amount))
 
     @staticmethod
     def _end(stack: list, tags: tuple, close, at: int) -> None:

@@ -220,6 +220,16 @@ def test_html_copies_and_large_hosts(spark):
     assert [got[100 + i] for i in range(80)] == [f"Story {i}" for i in range(80)]
 
 
+@pytest.mark.parametrize("start", ["div class='layout with-sidebar'", "div class=content-sidebar-wrap", "div class=no-banner", "div class=social-news", "form action=x", "div id=sidebar", "aside"])
+def test_html_marked_elements_around_the_article(start):
+    end = start.split()[0]
+    assert html_text.Page(f"<body><{start}><nav>menu</nav><article>The story <div class='share-box'>f</div></article><div class=comments-area>reader</div></{end}></body>").text() == "The story"
+    if start != "aside":
+        assert html_text.Page(f"<body><{start}><nav><a>menu</a></nav><div>The story</div></{end}></body>").text() == "The story"
+    assert html_text.Page("<body><article>The story</article><div class=sidebar><article>A much longer teaser of another one</article></div></body>").text().startswith("The story")
+    assert html_text.Page("<div class='ad x'>A long advert</div><div class=sidebar>no</div><p>The story").text() == "The story"
+
+
 def test_urls(spark):
     rows = [
         (1, "https://www.Example.com/en/1", None), (2, "http://x.example.com/en/2", ""), (3, "http://a.net/es/?q", "<p>"), (4, None, None), (5, "nothing", ""), (6, "http://x.org/a#f", '<link rel="canonical" href="http://a.net/fr/z">'),
