@@ -172,3 +172,20 @@ def test_classifier(spark):
     none = kneser_ney.classify(d.drop("limit"), labels.where("1=0"), ["doc_id", "lang"])
     assert none.where("kept").count() == d.where("text <> ''").count()
     assert kneser_ney.classify(d.drop("limit").where("1=0"), labels, ["doc_id", "lang"]).count() == 0
+
+
+def test_classifier_limits(spark, monkeypatch):
+    """A language with few unseen trusted documents takes the common limit; one outlier sets none; poor ones choose."""
+    monkeypatch.setattr(kneser_ney, "TRAIN_DOCS", 60)
+    r = random.Random(6)
+    words = ["the", "house", "was", "old", "and", "green"]
+    good = [(i, " ".join(r.choice(words) for _ in range(60)), "en") for i in range(400)]
+    unseen = spark.range(500, 600).where("pmod(xxhash64(id, 11), 1000) >= 800").head()[0]
+    outlier = [(unseen, "qzx jvk " * 30, "de")]
+    poor = [(600 + i, " ".join(r.choice([*words, "hsuoe", "eth"]) for _ in range(60)), "en") for i in range(40)]
+    junk = [(700 + i, "".join(r.choice("qzxjvk") for _ in range(200)), "de") for i in range(5)]
+    labels = [(i, 1, 0) for i, _, _ in good + outlier] + [(i, 0, 0) for i, _, _ in poor]
+    d = spark.createDataFrame(good + outlier + poor + junk, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["kept"] for x in kneser_ney.classify(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ["doc_id", "lang"]).collect()}
+    assert sum(got[i] for i, _, _ in good) >= 370
+    assert not any(got[i] for i, _, _ in poor + junk)
