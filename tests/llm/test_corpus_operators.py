@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,12 @@ def test_classifier_limits(spark, monkeypatch):
     got = {x["doc_id"]: x["kept"] for x in kneser_ney.classify(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ["doc_id", "lang"]).collect()}
     assert sum(got[i] for i, _, _ in good) >= 370
     assert not any(got[i] for i, _, _ in poor + junk)
+
+
+def test_symbols_of_other_scripts():
+    """Characters from U+0FFF on tell texts apart, and don't become Latin letters."""
+    texts = ["\u4e2d\u6587\u5b57\u7b26", "\u5b57\u6587\u7b26\u4e2d", "\u3053\u308c\u306f\u4f55", "\ud55c\uad6d\uc5b4\ub97c", "\u201c\u2014\u2019\ufffd", "\U0001f600\U0001f601\U0001f602\U0001f603"]
+    keys, sizes = kneser_ney.gram_keys([t.encode() for t in texts])
+    assert sizes.tolist() == [4] * 6 and len(set(keys.tolist())) == len(keys)
+    last = keys & np.uint64(kneser_ney.SYMBOLS - 1)
+    assert len(set(last[:4].tolist())) == 4 and (last >= kneser_ney.FOLD).all()
