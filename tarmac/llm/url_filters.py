@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, ascii_lower
+from .common import Workspace, ascii_lower, let
 from .components import connected_components
 
 #: (verdict, host, path) of the standard rule set.
@@ -50,20 +50,70 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.xxhash64(host_of(url), rest))
 
 
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+_HREF = r"(?i)\bhref\s*=\s*[\"']?([^\s\"'>]+)"
+
+
+def decoded(c: Column) -> Column:
+    """c with the character references that URLs need: ASCII ones by number, and those for & < > " '."""
+
+    def piece(x: Column) -> Column:
+        number = F.regexp_extract(x, r"^#([0-9]{1,4});?", 1)
+        sixteen = F.regexp_extract(x, r"^#[xX]([0-9a-fA-F]{1,4});?", 1)
+        code = F.when(number != "", number.cast("int")).when(sixteen != "", F.conv(sixteen, 16, 10).cast("int"))
+        out = F.when(code.between(32, 126), F.concat(F.char(code), F.regexp_replace(x, r"^#[xX]?[0-9a-fA-F]{1,4};?", "")))
+        for name, char in _NAMED.items():
+            out = out.when(x.startswith(name + ";"), F.concat(F.lit(char), x.substr(len(name) + 2, 1 << 30)))
+        return out.otherwise(F.concat(F.lit("&"), x))
+
+    return let(F.split(c, "&"), lambda parts: F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1 << 30), piece), "")))
+
+
+def _without_dots(path: Column) -> Column:
+    """A rooted path without . and .. segments."""
+    def joined(parts: Column) -> Column:
+        none = F.slice(parts, 1, 0)
+        kept = F.aggregate(F.slice(parts, 2, 1 << 30), none, lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x)))
+        return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+    return let(F.split(F.regexp_replace(path, r"(^|/)(\.\.?)$", "$1$2/"), "/"), joined)
+
+
+def resolved(ref: Column, base: Column) -> Column:
+    """The absolute URL of a reference on a page with this base; null if empty or of a scheme without hosts."""
+    return let(F.struct(ref.alias("ref"), base.alias("base")), lambda x: _resolved(x["ref"], x["base"]))
+
+
+def _resolved(ref: Column, base: Column) -> Column:
+    scheme = F.regexp_extract(base, r"^([^:]*)://", 1)
+    root = F.concat(scheme, F.lit("://"), host_of(base))
+    path = F.regexp_extract(ref, r"^[^?#]*", 0)
+    rest = F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
+    return (
+        F.when((ref == "") | (F.instr(base, "://") == 0), F.when(ref.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), ref))
+        .when(ref.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.when(ref.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), ref))
+        .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
+        .when(ref.startswith("/"), F.concat(root, _without_dots(path), rest))
+        .when(ref.startswith("#"), F.regexp_extract(base, r"^[^#]*", 0))
+        .when(ref.startswith("?"), F.concat(root, path_of(base), ref))
+        .otherwise(F.concat(root, _without_dots(F.concat(F.when(path_of(base) == "", "/").otherwise(F.regexp_extract(path_of(base), r"^(.*/)", 1)), path)), rest))
+    )
+
+
 def link_targets(url: Column, html: Column) -> Column:
-    """Absolute URLs of canonical links and meta refreshes of a page."""
+    """Absolute URLs of canonical links and meta refreshes of a page, by its first base element if it has one."""
     tags = F.concat(
         F.regexp_extract_all(html, F.lit(r"(?i)<link\s[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0)),
         F.regexp_extract_all(html, F.lit(r"(?i)<meta\s[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0)),
     )
+    own = F.regexp_extract(F.regexp_extract(html, r"(?i)<base\s[^>]*>", 0), _HREF, 1)
+    base = F.coalesce(resolved(decoded(own), url), url)
 
-    def target(tag: Column) -> Column:
+    def target(tag: Column, base: Column) -> Column:
         raw = F.regexp_extract(tag, r"(?i)(?:\bhref\s*=\s*[\"']?|;\s*url\s*=\s*[\"']?)([^\s\"'>]+)", 1)
-        scheme = F.regexp_extract(url, r"^([^:]*)://", 1)
-        root = F.concat(scheme, F.lit("://"), host_of(url))
-        return F.when(F.instr(raw, "://") > 0, raw).when(raw.startswith("//"), F.concat(scheme, F.lit(":"), raw)).when(raw.startswith("/"), F.concat(root, raw))
+        return resolved(decoded(raw), base)
 
-    return F.filter(F.transform(tags, target), lambda x: x.isNotNull())
+    return F.filter(let(base, lambda b: F.transform(tags, lambda tag: target(tag, b))), lambda x: x.isNotNull())
 
 
 def page_edges(pages: DataFrame) -> DataFrame:

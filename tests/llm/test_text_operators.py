@@ -244,3 +244,17 @@ def test_urls(spark):
     got = {r["page_id"]: (r["verdict"], r["by"]) for r in url_filters.url_filter(d.where("page_id <> 8")).collect()}
     assert got[6] == got[7] == ("block", "alias") and got[10] == ("allow", "default")
     assert url_filters.url_filter(d.where("1=0")).count() == 0
+
+
+def test_relative_links(spark):
+    """Targets as urllib resolves them, with references decoded; blocks reach such aliases."""
+    from urllib.parse import urljoin
+
+    refs = ["page2.html", "../x", "?id=1", "./y?a=1&amp;b=2", "/p/./q/../r", "//k.org/z", "http://x.org/?a=1&#38;b=&#x32;", "..", "a/b/", "/r?u=http://z.org/", "/a&ltb"]
+    plain = [r.replace("&amp;", "&").replace("&#38;", "&").replace("&#x32;", "2") for r in refs]
+    for base in ("", "/b/c/d", "sub/"):
+        rows = [(f"http://h.org/one/two/{i}", (f'<base href="{base}">' if base else "") + f'<link rel="canonical" href="{r}">') for i, r in enumerate(refs)]
+        got = {r["url"]: r["target"] for r in url_filters.page_edges(spark.createDataFrame(rows, "url string, html string")).collect()}
+        assert got == {u: urljoin(urljoin(u, base), p) for (u, _), p in zip(rows, plain, strict=True)}
+    d = spark.createDataFrame([(1, "http://a.net/es/1?a=1&b=2", '<link rel=canonical href="../../s?x&amp;y">'), (2, "http://b.org/q", '<meta http-equiv=refresh content="0; url=http://a.net/s?x&#38;y">')], "page_id long, url string, html string")
+    assert {r["page_id"]: (r["verdict"], r["by"]) for r in url_filters.url_filter(d).collect()} == {1: ("block", "rule"), 2: ("block", "alias")}
