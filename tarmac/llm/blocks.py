@@ -6,10 +6,9 @@ to it what the whole corpus says about its contents.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +16,6 @@ from pyspark.sql import functions as F
 from .common import slices, total_bytes
 
 BLOCK_BYTES = 8_000_000
-CACHE_WORDS = 400_000
 _U = np.uint64
 
 
@@ -61,25 +59,57 @@ def raw_texts(column) -> list[bytes]:
     return [d.decompress(z) for z in column.to_pylist()]
 
 
-class WordHash(dict):
-    """64-bit hash of a word, kept for the next time."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-WORDS = WordHash()
+def runs(texts: list[bytes], most: int = 4_000_000):
+    """Runs of texts of about `most` bytes (always one text at least)."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
+def words_in(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All words `[^\\x20\\x09-\\x0D]+` of the texts in a row, and the number of words of each text."""
+    ends = np.cumsum([0, *map(len, texts)], dtype="i8")
+    lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(texts))]))
+    flat = lists.flatten()
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at a text's ends leaves empty pieces
+    counted = np.r_[0, np.cumsum(full)]
+    at = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype("i8")
+    return flat if full.all() else flat.filter(pa.array(full)), np.diff(counted[at])
+
+
+#: Words up to so many bytes are hashed as arrays, eight bytes at a time.
+_SHORT = 32
+_MASKS = np.array([0, *[(1 << 8 * k) - 1 for k in range(1, 9)]], "u8")
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words (a large string array): a chain of mixed eight-byte pieces, for long ones xxh3."""
+    ends = np.frombuffer(words.buffers()[1], "i8")[words.offset : words.offset + len(words) + 1]
+    start, size = ends[:-1], np.diff(ends)
+    raw = words.buffers()[2]
+    data = np.concatenate([np.frombuffer(raw, "u1")[: ends[-1]] if raw else np.empty(0, "u1"), np.zeros(_SHORT + 8, "u1")])
+    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    h = mix(size.astype("u8") + _U(0x2545F4914F6CDD1D))
+    for at in range(0, _SHORT, 8):
+        more = np.flatnonzero(size > at)
+        piece = eight[np.minimum(start[more] + at, len(eight) - 1)] & _MASKS[np.minimum(size[more] - at, 8)]
+        h[more] = mix((h[more] ^ piece) * _U(0x9E3779B97F4A7C15) + _U(at + 1))
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]].tobytes())
+    return h
 
 
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words `[^\\x20\\x09-\\x0D]+` of the texts in a row, and the number of words of each text."""
-    split = [t.split() for t in texts]
-    sizes = np.fromiter(map(len, split), "i8", len(split))
-    flat = np.fromiter(map(WORDS.__getitem__, chain.from_iterable(split)), "u8", int(sizes.sum()))
-    return flat, sizes
+    """Hashes of all words of the texts in a row, and the number of words of each text."""
+    words, sizes = words_in(texts)
+    known = words.dictionary_encode()
+    return word_hashes(known.dictionary)[known.indices.to_numpy(zero_copy_only=False)], sizes
 
 
 def mix(x: np.ndarray) -> np.ndarray:
