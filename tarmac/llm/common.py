@@ -35,13 +35,18 @@ def shared_root(spark: SparkSession) -> str:
 class Workspace:
     """Intermediate tables of one operator run, written to the shared folder.
 
-    A written table cuts the lineage: a lost executor costs its own tasks only.
+    A written table cuts the lineage: a lost executor costs its own tasks only. Results read their last tables
+    when they are used, so what isn't dropped before stays until the driver ends, which removes the folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df once and read it back; shuffle files of what is no longer referenced are freed."""

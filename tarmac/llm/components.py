@@ -10,25 +10,30 @@ from .common import Workspace
 MAX_ROUNDS = 60
 
 
-def _joined_to_min(ws: Workspace, pairs: DataFrame) -> DataFrame:
-    """(u, v, m) with m the smaller of u and its smallest v.
+def _joined_to_min(ws: Workspace, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v, m) with m the smaller of u and its smallest v; and the table of minima.
 
     The minima are written first, so that the join reads two plain tables: Spark broadcasts the minima
     if their files are small, and can otherwise split the shuffle partition of a hub.
     """
     mins = ws.write(pairs.groupBy("u").agg(F.min("v").alias("m")), "mins")
-    return pairs.join(mins, "u").select("u", "v", F.least("u", "m").alias("m"))
+    return pairs.join(mins, "u").select("u", "v", F.least("u", "m").alias("m")), mins
 
 
 def large_star(ws: Workspace, edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _joined_to_min(ws, both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    j, mins = _joined_to_min(ws, both)
+    out = ws.write(j.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+    ws.drop(mins)
+    return out
 
 
 def small_star(ws: Workspace, edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    j = _joined_to_min(ws, down)
-    return j.select(F.col("v").alias("u"), F.col("m").alias("v")).union(j.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    j, mins = _joined_to_min(ws, down)
+    out = ws.write(j.select(F.col("v").alias("u"), F.col("m").alias("v")).union(j.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
+    ws.drop(mins)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -46,8 +51,8 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        big = ws.write(large_star(ws, now), "large")
-        new = ws.write(small_star(ws, big), "small")
+        big = large_star(ws, now)
+        new = small_star(ws, big)
         ws.drop(big, now)
         now, before, state = new, state, _state(new)
         if state == before:

@@ -1,25 +1,34 @@
 """Near-duplicates by MinHash: banded minima, signature verification, exact confirmation, star components.
 
 1. Every document becomes its set of 5-word shingles; HASHES universal hash functions give minima, and BANDS
-   bands of them give bucket keys. Documents with equal sets form a class; one row of each class goes on.
-2. Classes that share a bucket are compared by sketches of their signatures. Within a bucket a spanning forest
-   of the pairs that may be links is kept, so that a bucket adds no more edges than members. A bucket of over
-   MAX_BUCKET classes ties all its members to its first instead. Components of these edges are cells: every
-   link lies within a cell (but for the chance of some 1e-6 that a link shares no band).
-3. Cells are confirmed on full shingle sets; a large cell is cut into blocks, and each pair of blocks is one
-   task's work. A forest of the confirmed links is kept; its components are the near-duplicate groups.
-
-Hot groups: equal sets collapse before anything is grouped, bucket rows are split by key, cells by block pair.
+   bands of them give bucket keys. Documents with equal sets (by 128 bits of the whole set) form a class; one row
+   of each class goes on.
+2. Round one: each class is held against the first class of each of its buckets, by sketches of their signatures,
+   and the most similar one is confirmed on full shingle sets. A bucket of near copies of one text collapses here,
+   with work in proportion to its members.
+3. Later rounds: in buckets that still hold several components, members of different components are held
+   against each other by sketches (120 bytes each; large buckets in pairs of chunks). Of the pairs that may be
+   links, the most similar ones of each two components are confirmed on full sets, more of them in each round,
+   until every pair that may be a link is confirmed, refuted, or within one component.
+   Components by large-star and small-star.
+
+Nothing is capped: what isn't settled goes on to the next round. A link can be missed only if it shares no band or
+its sketches agree six standard deviations too little. Hot groups: equal sets collapse before anything is grouped,
+buckets are counted with partial aggregates and never stand in one task as a whole, and the confirmations around a
+hub are dealt in groups of HUB. What still grows with the square of a bucket is the comparison of sketches, if
+its members aren't linked.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; repeated rows (the
-same doc_id) are copies of each other, all kept if theirs is the smallest doc_id; a null doc_id is never linked,
-its component is null and kept is false; an empty table gives an empty table; only doc_id and text are read.
+same doc_id) are copies of each other, all kept if theirs is the smallest doc_id, and may have different texts, null
+ones too; a null doc_id is never linked, its component is null and kept is false; an empty table gives an empty
+table; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +39,14 @@ from .components import connected_components
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
-#: A pair whose sketches agree less than this can't be a link: over six standard deviations below the limit.
-MIN_AGREEMENT = 0.65
-MAX_BUCKET = 2048
-#: Documents of one block of a large cell.
-CELL_BLOCK = 192
+#: A link's sketches agree at most so many standard deviations less than it is similar.
+DEVIATIONS = 6
+#: Members of a bucket that one task holds against each other, or against as many.
+CELL_BLOCK = 1024
+#: Classes confirmed against the same one in one group.
+HUB = 256
+#: Growth from round to round of the pairs confirmed for each two components of a bucket.
+WIDEN = 8
 _U = np.uint64
 
 
@@ -91,23 +103,31 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _class_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """One 64-bit key for equal sets, whatever the order, from two sums over mixed shingles; 0 for empty sets."""
-    keys = np.zeros(len(sets), "u8")
-    for i, s in enumerate(sets):
-        if len(s):
-            with np.errstate(over="ignore"):
-                keys[i] = mix(np.array([mix(s).sum(dtype="u8") + mix(mix(s ^ _U(0xA0761D6478BD642F))).sum(dtype="u8") * _U(0x9E3779B97F4A7C15) + _U(len(s))], "u8"))[0]
-    return keys
+def least_agreement(percent: int) -> float:
+    p = percent / 100
+    return HASHES * (p - DEVIATIONS * (p * (1 - p) / HASHES) ** 0.5)
+
+
+def _class_keys(sets: list[np.ndarray]) -> list[tuple[int, int] | None]:
+    """128 bits of each whole set; None for empty sets."""
+    out: list = []
+    for s in sets:
+        x = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") if len(s) else None
+        out.append(None if x is None else (int(x[0]), int(x[1])))
+    return out
+
+
+def _sets_of(column) -> list[np.ndarray]:
+    return shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()])
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls, bands, sketch of every row; cls is null for rows that can't be linked."""
+    """doc_id, n_shingles, k1, k2, bands, sketch of every row; k1 and k2 are null for rows that can't be linked."""
 
     def run(batches):
         for b in slices(batches, "text", 2_000_000):
             ids = b.column("doc_id").cast(pa.int64())
-            sets = shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()])
+            sets = _sets_of(b.column("text"))
             sizes = np.array([len(s) for s in sets], "i8")
             full = np.flatnonzero(sizes)
             bands: list = [None] * len(sets)
@@ -116,130 +136,169 @@ def sign(docs: DataFrame) -> DataFrame:
                 sig = signatures([sets[i] for i in full])
                 for i, k, s in zip(full.tolist(), band_keys(sig).view("i8").tolist(), sig.astype("u1"), strict=True):
                     bands[i], sketch[i] = k, s.tobytes()
-            usable = (sizes > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
-            cls = pa.array(_class_keys(sets).view("i8"), mask=~usable)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), cls, pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "cls", "bands", "sketch"])
+            keys = [k if ok else None for k, ok in zip(_class_keys(sets), ids.is_valid().to_pylist(), strict=True)]
+            both = [pa.array([k and k[n] for k in keys], pa.int64()) for n in (0, 1)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), *both, pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
-class Forest:
-    """Union-find over 0..n-1 that tells whether an edge joined two trees."""
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "u1").reshape(-1, HASHES)
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
 
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
+def star_pairs(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """u, v: for each class the most similar first class of its buckets that may be linked with it; v < u."""
+    least = least_agreement(percent)
 
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
+    def run(batches):
+        for b in batches:
+            u, v = (b.column(c).to_numpy() for c in ("u", "v"))
+            agree = (_sketches(b.column("su")) == _sketches(b.column("sv"))).sum(1)
+            nu, nv = (b.column(c).to_numpy() for c in ("nu", "nv"))
+            ok = (agree >= least) & (100 * np.minimum(nu, nv) >= percent * np.maximum(nu, nv))
+            yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok]), pa.array(agree[ok].astype("i4"))], ["u", "v", "agree"])
+
+    pairs = shared.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
+    own = classes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
+    other = classes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
+    found = pairs.join(own.hint("merge"), "u").join(other.hint("merge"), "v").mapInArrow(run, "u long, v long, agree int")
+    return found.groupBy("u").agg(F.max(F.struct("agree", "v")).alias("best")).select("u", "best.v")
+
+
+def open_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame, ws: Workspace, percent: int, limit: int) -> DataFrame:
+    """u, v, more: pairs of a bucket's members of different components that may be links, as a written table.
+
+    For each two components of a bucket, or of a pair of its chunks, the `limit` most similar pairs; more tells
+    that there are others.
+    """
+    least = least_agreement(percent)
+    tagged = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    tagged = ws.write(tagged, "tagged")
+    mixed = ws.write(tagged.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "m"), "mixed")
+    k = F.ceil(F.col("m") / CELL_BLOCK).cast("int")
+    rows = tagged.join(mixed, "key").select("key", "node", "label", k.alias("k"), F.pmod(F.xxhash64("node"), k).cast("int").alias("b"))
+    rows = rows.join(classes.select("node", "n", "sketch").hint("merge"), "node")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")).select("key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "node", "label", "n", "sketch")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("more", pa.bool_())])
 
+    def run(t: pa.Table) -> pa.Table:
+        node, label, n, b = (t.column(c).to_numpy() for c in ("node", "label", "n", "b"))
+        order = np.lexsort((node, label))
+        node, label, n, b = node[order], label[order], n[order], b[order]
+        s = _sketches(t.column("sketch"))[order]
+        two = t.column("lo")[0] != t.column("hi")[0]
+        found = []
+        for i in range(1, len(node)):
+            first = np.searchsorted(label, label[i])  # earlier labels only
+            agree = (s[:first] == s[i]).sum(1)
+            ok = (agree >= least) & (100 * np.minimum(n[:first], n[i]) >= percent * np.maximum(n[:first], n[i]))
+            if two:
+                ok &= b[:first] != b[i]
+            at = np.flatnonzero(ok)
+            if len(at):
+                found.append(np.stack([np.full(len(at), i), at, agree[at]], 1))
+        if not found:
+            return schema.empty_table()
+        i, j, agree = np.concatenate(found).T
+        order = np.lexsort((-agree, label[j], label[i]))
+        i, j = i[order], j[order]
+        new = np.r_[True, (label[i][1:] != label[i][:-1]) | (label[j][1:] != label[j][:-1])]
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        keep = np.arange(len(i)) - starts[group] < limit
+        more = (np.diff(np.r_[starts, len(i)]) > limit)[group]
+        u, v = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
+        return pa.Table.from_arrays([pa.array(u[keep]), pa.array(v[keep]), pa.array(more[keep])], schema=schema)
+
+    out = ws.write(rows.groupBy("key", "lo", "hi").applyInArrow(run, "u long, v long, more boolean"), "open")
+    ws.drop(tagged, mixed)
+    return out
 
-_EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+def class_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text: one text of each of the classes in nodes."""
 
-def candidate_edges(classes: DataFrame, ws: Workspace, size_percent: int) -> DataFrame:
-    """u, v: a forest, for each bucket, of the pairs of classes that may be links."""
-    keyed = classes.select("cls", F.explode("bands").alias("key"))
-    per = Window.partitionBy("key")
-    shared = keyed.select("key", "cls", F.count("*").over(per).alias("m"), F.min("cls").over(per).alias("first")).where("m > 1")
-    shared = ws.write(shared, "shared")
-    stars = shared.where((F.col("m") > MAX_BUCKET) & (F.col("cls") != F.col("first"))).select(F.col("cls").alias("u"), F.col("first").alias("v"))
-    small = shared.where(F.col("m") <= MAX_BUCKET).select("key", "cls").join(classes.select("cls", "n", "sketch").hint("merge"), "cls")
+    def run(batches):
+        for b in slices(batches, "text", 2_000_000):
+            keys = _class_keys(_sets_of(b.column("text")))
+            same = [k == own for k, own in zip(keys, zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("text")], ["node", "text"]).filter(pa.array(same))
 
-    def run(t: pa.Table) -> pa.Table:
-        cls = t.column("cls").to_numpy()
-        order = np.argsort(cls, kind="stable")
-        cls, n = cls[order], t.column("n").to_numpy()[order]
-        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "u1").reshape(len(cls), HASHES)[order]
-        trees, out = Forest(len(cls)), []
-        for i in range(1, len(cls)):
-            alike = (s[:i] == s[i]).sum(1) >= MIN_AGREEMENT * HASHES
-            alike &= 100 * np.minimum(n[:i], n[i]) >= size_percent * np.maximum(n[:i], n[i])
-            for j in np.flatnonzero(alike).tolist():
-                if trees.join(i, j):
-                    out.append((cls[i], cls[j]))
-        u, v = zip(*out, strict=True) if out else ((), ())
-        return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_EDGES)
-
-    return ws.write(small.groupBy("key").applyInArrow(run, "u long, v long").union(stars).distinct(), "candidates")
-
-
-def _links(cls: list[int], sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
-    """A forest of the links with 100 * intersection >= percent * union; between sides only, if there are two."""
-    trees, out = Forest(len(cls)), []
-    sizes = np.array([len(s) for s in sets])
-    two = len(set(side)) == 2
-    ids, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.r_[0, np.cumsum(sizes)]
-    member = np.zeros(len(ids), "i4")
-    for i in range(1, len(cls)):
-        roots = [trees.root(j) for j in range(i)]
-        mine = trees.root(i)
-        rest = [j for j, r in enumerate(roots) if r != mine and not (two and side[j] == side[i]) and 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j])]
-        if not rest:
-            continue
-        own = inverse[starts[i] : starts[i + 1]]
-        member[own] = 1
-        if len(rest) * 4 > i:
-            both = np.add.reduceat(member[inverse[: starts[i]]], starts[:i])[rest]
-        else:
-            both = np.array([member[inverse[starts[j] : starts[j + 1]]].sum() for j in rest])
-        member[own] = 0
-        union = sizes[i] + sizes[rest] - both
-        for j in np.array(rest)[100 * both >= percent * union].tolist():
-            if trees.join(i, j):
-                out.append((cls[i], cls[j]))
-    return out
+    wanted = classes.join(nodes, "node", "left_semi").select("node", "doc_id", "k1", "k2")
+    # Grows with the corpus: always a merge join, whose cost is the same share of the input at every size.
+    rows = docs.where("text is not null").join(wanted.hint("merge"), "doc_id").select("node", "k1", "k2", "text")
+    return rows.mapInArrow(run, "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
 
 
-def confirmed_edges(docs: DataFrame, cells: DataFrame, ws: Workspace, percent: int) -> DataFrame:
-    """u, v: a forest of the confirmed links within each pair of blocks of each cell (cls, doc_id, cell)."""
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("m"))
-    k = F.ceil(F.col("m") / CELL_BLOCK).cast("int")
-    blocks = cells.join(ws.write(sizes, "sizes"), "cell").select("cls", "doc_id", "cell", k.alias("k"), F.pmod(F.xxhash64("cls"), k).cast("int").alias("b"))
-    # Cells grow with the corpus: always a merge join, whose cost is the same share of the input at every size.
-    texts = ws.write(docs.select("doc_id", "text").join(ws.write(blocks, "blocks").hint("merge"), "doc_id"), "cell-texts")
-    lo, hi = F.least("b", "o"), F.greatest("b", "o")
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The pairs of blocks of a cell go to partitions in turn, so that those of a large cell don't meet by chance.
-    turn = F.pmod(F.xxhash64("cell") + lo * F.col("k") + hi, F.lit(n)).cast("int").alias("turn")
-    pairs = texts.select("*", other).select(turn, "cell", lo.alias("lo"), hi.alias("hi"), "b", "cls", "text")
-    dealt = pairs.repartitionById(n, "turn").sortWithinPartitions("cell", "lo", "hi")
-
-    def solve(rows: dict[int, tuple], two: bool) -> pa.RecordBatch:
-        cls = sorted(rows)
-        out = _links(cls, [rows[c][0] for c in cls], [rows[c][1] if two else 0 for c in cls], percent) if len(cls) > 1 else []
-        u, v = zip(*out, strict=True) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_EDGES)
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """u, v of the pairs with 100 * intersection >= percent * union of their full sets.
+
+    The classes held against the same v come in groups of HUB, and v's text once for each group.
+    """
+    counts = pairs.groupBy("v").agg(F.count("*").alias("m"))
+    p = pairs.select("u", "v").join(counts, "v").select("v", F.pmod(F.xxhash64("u"), F.ceil(F.col("m") / HUB)).alias("part"), "u")
+    heads = p.select("v", "part").distinct().select("v", "part", F.lit(0).alias("side"), F.col("v").alias("node"))
+    both = heads.unionByName(p.select("v", "part", F.lit(1).alias("side"), F.col("u").alias("node")))
+    rows = both.join(texts, "node").repartition("v", "part").sortWithinPartitions("v", "part", "side")
 
     def run(batches):
-        key, rows = None, {}
-        for batch in batches:
-            for chunk in slices([batch], "text", 2_000_000):
-                sets = shingle_sets([x.encode("utf-8", "surrogatepass") for x in chunk.column("text").to_pylist()])
-                same = _class_keys(sets).view("i8").tolist()
-                names = [chunk.column(c).to_pylist() for c in ("cell", "lo", "hi", "cls", "b")]
-                for cell, lo, hi, c, b, s, got in zip(*names, sets, same, strict=True):
-                    if (cell, lo, hi) != key:
-                        if rows:
-                            yield solve(rows, key[1] != key[2])
-                        key, rows = (cell, lo, hi), {}
-                    if c == got:
-                        rows[c] = (s, b)
-        if rows:
-            yield solve(rows, key[1] != key[2])
-
-    return ws.write(dealt.mapInArrow(run, "u long, v long"), "links")
+        head, mine = None, np.empty(0, "u8")
+        for b in slices(batches, "text", 2_000_000):
+            sets = _sets_of(b.column("text"))
+            links = []
+            for v, part, side, node, s in zip(*(b.column(c).to_pylist() for c in ("v", "part", "side", "node")), sets, strict=True):
+                if not side:
+                    head, mine = (v, part), s
+                elif head == (v, part):
+                    inner = len(np.intersect1d(mine, s, assume_unique=True))
+                    if 100 * inner >= percent * (len(mine) + len(s) - inner):
+                        links.append((node, v))
+            u, v = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def class_groups(docs: DataFrame, classes: DataFrame, ws: Workspace, percent: int) -> DataFrame:
+    """node, label (the smallest node reachable) of all classes that are linked with others."""
+    keyed = classes.select("node", F.explode("bands").alias("key"))
+    buckets = ws.write(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("first")).where("m > 1").select("key", "first"), "buckets")
+    shared = ws.write(keyed.join(buckets, "key"), "shared")
+    ws.drop(buckets)
+    texts = ws.write(class_texts(docs, classes, shared.select("node").distinct()), "texts")
+
+    def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        """Labels after these links; those so far are contracted first."""
+        if labels is not None:
+            for c in ("u", "v"):
+                links = links.join(labels.select(F.col("node").alias(c), "label"), c, "left").withColumn(c, F.coalesce("label", c)).drop("label")
+        new = connected_components(ws, links.select("u", "v")).select(F.col("node").alias("from"), F.col("component").alias("to"))
+        if labels is None:
+            return ws.write(new.toDF("node", "label"), "labels")
+        moved = labels.join(new, labels["label"] == new["from"], "left").select("node", F.coalesce("to", "label").alias("label"))
+        fresh = new.join(labels.select("node"), new["from"] == labels["node"], "left_anti").toDF("node", "label")
+        return ws.write(moved.unionByName(fresh), "labels")
+
+    pairs = ws.write(star_pairs(shared, classes, percent), "pairs")
+    tested = pairs.select("u", "v")
+    labels = joined(None, ws.write(confirmed(pairs, texts, percent), "links"))
+    limit = 1
+    while True:
+        found = open_pairs(shared, classes, labels, ws, percent, limit)
+        more = not found.where("more").isEmpty()
+        pairs = ws.write(found.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
+        ws.drop(found)
+        if pairs.isEmpty():
+            if not more:
+                ws.drop(shared, texts)
+                return labels
+        else:
+            tested = ws.write(tested.unionByName(pairs), "tested")
+            links = ws.write(confirmed(pairs, texts, percent), "links")
+            if not links.isEmpty():
+                labels = joined(labels, links)
+        limit *= WIDEN
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -249,17 +308,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ws = Workspace(docs.sparkSession, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = ws.write(sign(docs), "signed")
-    linked = signed.where(F.col("cls").isNotNull())
-    firsts = linked.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = ws.write(firsts, "classes")
-    cells = connected_components(ws, candidate_edges(classes, ws, percent))
-    cells = ws.write(cells.select(F.col("node").alias("cls"), F.col("component").alias("cell")).join(classes.select("cls", "doc_id"), "cls"), "cells")
-    groups = connected_components(ws, confirmed_edges(docs, cells, ws, percent)).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
-    members = ws.write(classes.select("cls", "doc_id", "copies").join(ws.write(groups, "groups"), "cls", "left"), "members")
-    heads = ws.write(members.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("head")), "heads")
-    named = members.where("grp is not null or copies > 1").join(heads, "grp", "left").select("cls", F.coalesce("head", "doc_id").alias("component"))
+    linked = signed.where(F.col("k1").isNotNull())
+    firsts = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # A class gets its number when the table is written, once and for all.
+    classes = ws.write(firsts.withColumn("node", F.monotonically_increasing_id()), "classes")
+    groups = class_groups(docs, classes, ws, percent)
+    members = ws.write(classes.select("node", "k1", "k2", "doc_id", "copies").join(groups, "node", "left"), "members")
+    heads = ws.write(members.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("head")), "heads")
+    named = members.where("label is not null or copies > 1").join(heads, "label", "left").select("k1", "k2", F.coalesce("head", "doc_id").alias("component"))
     named = ws.write(named, "named")
-    out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
@@ -272,6 +330,7 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One document of each near-duplicate group, with the columns of docs; rows with a null doc_id stay."""
     ids = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()
     ids = Workspace(docs.sparkSession, "minhash-kept").write(ids, "ids")
-    left = docs.join(ids.hint("merge"), "doc_id", "left_semi")
-    one = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    return left.withColumn("_one", one).where("_one = 1").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("h"))
+    one = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("doc_id"))
+    left = rows.join(ids.hint("merge"), "doc_id", "left_semi").withColumn("one", one).where("one = 1").unionByName(rows.where("doc_id is null").withColumn("one", F.lit(1)))
+    return left.select("row.*")
