@@ -6,12 +6,15 @@ to it what the whole corpus says about its contents.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import slices, total_bytes
 
@@ -24,12 +27,17 @@ def block_count(docs: DataFrame, block_bytes: int) -> int:
     return max(1, -(-total_bytes(docs, "text") // block_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bucket_count(spark, blocks: int) -> int:
+    """Buckets of keys that blocks exchange: with the root of the blocks' number, so that neither the values of one
+    bucket nor the number of values grows with its square."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * math.isqrt(blocks))
+
+
 def deal(docs: DataFrame, columns: list[str], n: int) -> DataFrame:
     """block, columns, z (the whole text, zstd-compressed; null as empty), hash-partitioned by block.
 
     Blocks depend on the rows alone, so that a repeated task deals alike.
     """
-    kinds = dict(docs.dtypes)
 
     def run(batches):
         import zstandard
@@ -40,8 +48,13 @@ def deal(docs: DataFrame, columns: list[str], n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("block"), *[b.column(x) for x in columns], pa.array(z, pa.binary())], ["block", *columns, "z"])
 
     block = F.pmod(F.xxhash64(*columns, "text"), F.lit(n)).cast("int").alias("block")
-    ddl = "block int, " + ", ".join(f"`{x}` {kinds[x]}" for x in columns) + ", z binary"
-    return docs.select(block, *columns, "text").mapInArrow(run, ddl).repartition(n, "block")
+    return docs.select(block, *columns, "text").mapInArrow(run, with_fields(docs, columns, "block int", "z binary")).repartition(n, "block")
+
+
+def with_fields(df: DataFrame, columns: list[str], before: str, after: str) -> StructType:
+    """A schema of df's columns, as they are, between other fields."""
+    first, last = (StructType.fromDDL(x) if x else StructType() for x in (before, after))
+    return StructType([*first.fields, *[df.schema[c] for c in columns], *last.fields])
 
 
 def arrow_fields(df: DataFrame, columns: list[str]) -> list[tuple[str, pa.DataType]]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, arrow_fields, block_count, deal, grams, hashed, mix, raw_texts, runs, word_hashes, words_in
+from .blocks import BLOCK_BYTES, arrow_fields, block_count, deal, grams, hashed, mix, raw_texts, runs, with_fields, word_hashes, words_in
 from .common import Workspace
 
 W = 35
@@ -287,9 +287,8 @@ def locate(dealt: DataFrame, windows: DataFrame, finish, schema: pa.Schema, colu
         arrays = [left.column(c) for c in columns] + [pa.array(v, f.type) for v, f in zip(cols, schema, strict=True)]
         return pa.Table.from_arrays(arrays, [*columns, *schema.names])
 
-    kinds = dict(dealt.dtypes)
     empty = pa.schema(arrow_fields(dealt, columns) + [(f.name, f.type) for f in schema]).empty_table()
-    ddl = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"`{f.name}` {_DDL[f.type]}" for f in schema])
+    ddl = with_fields(dealt, columns, "", ", ".join(f"{f.name} {_DDL[f.type]}" for f in schema))
     return dealt.groupBy("block").cogroup(windows.groupBy("block")).applyInArrow(lambda left, right: run(left, right) if left.num_rows else empty, ddl)
 
 
