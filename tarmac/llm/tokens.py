@@ -1,8 +1,13 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Texts are dealt into blocks; each block's distinct words go to one table keyed by the word, every distinct word
-is encoded once, and its ids come back to the block, where they are joined to the text by position. Ids are
-decoded by joining them to the fixed id-to-piece table of the vocabulary.
+Texts are dealt into blocks; each block's distinct words go to a table of words in buckets by their hash, packed, one
+value for a block and bucket. A bucket's task takes its words from all blocks in a row and encodes each distinct word of
+the corpus once; there, too, the word's ids are joined to the fixed id-to-piece table of the vocabulary. Ids come
+back to the block, with the decoded bytes where they differ from the word, and are joined to the text by position.
+A task holds one block, or the distinct words of one bucket; buckets grow with the root of the number of blocks.
+
+`decode` is the same join as a DataFrame, for ids as such; the query doesn't explode every position for it, as that
+would shuffle a row for each token.
 
 A word here is a stretch of text at whose ends the tokenizer's own pre-tokenization always splits, so that the
 ids of the words in order are the ids of the text; white space in unusual places stays inside a word. Only
@@ -25,14 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_count, deal, raw_texts
+from .blocks import block_count, bucket_count, deal, raw_texts
 
 #: Bytes of text of a block: bounds the memory of a task.
 BLOCK_BYTES = 16_000_000
-#: Distinct words that a worker keeps before it starts afresh.
-CACHE_WORDS = 300_000
-#: Most buckets of distinct words; a block sends one value to each.
-MAX_BUCKETS = 4096
 _ODD = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　]")
 #: A full stop or comma at the start, or after white space or another mark, doesn't start a pattern of its own.
 _MARKS = re.compile(r"(?:^|[^\w]|_)[.,]")
@@ -110,22 +111,22 @@ class WordIds(dict):
         self.tokenizer, self.chars = load(path), char_table()
         self.model = self.tokenizer.model
 
-    def learn(self, words) -> None:
-        if len(self) > CACHE_WORDS:
-            self.clear()
+    def learn(self, words) -> list[str]:
+        """Encode the words that are new, and return them."""
+        new = list(dict.fromkeys(w for w in words if w not in self))
         other = []
-        for w in words:
-            if w not in self:
-                if _PLAIN(w) and not _SPECIAL.search(w):
-                    if w.isascii():  # printable characters stand for themselves, a space and a line's end have their own
-                        mapped = w.replace(" ", self.chars[0x20]).replace("\n", self.chars[0x0A])
-                    else:
-                        mapped = w.encode().decode("latin-1").translate(self.chars)
-                    self[w] = np.array([k.id for k in self.model.tokenize(mapped)], "<u4").tobytes()
-                else:
-                    other.append(w)
+        for w in new:
+            if not _PLAIN(w) or _SPECIAL.search(w):
+                other.append(w)
+                continue
+            if w.isascii():  # printable characters stand for themselves, a space and a line's end have their own
+                mapped = w.replace(" ", self.chars[0x20]).replace("\n", self.chars[0x0A])
+            else:
+                mapped = w.encode().decode("latin-1").translate(self.chars)
+            self[w] = np.array([k.id for k in self.model.tokenize(mapped)], "<u4").tobytes()
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self[w] = np.array(e.ids, "<u4").tobytes()
+        return new
 
 
 def pack_bytes(parts: list[bytes]) -> bytes:
@@ -170,39 +171,53 @@ def distinct_words(dealt: DataFrame, buckets: int) -> DataFrame:
 
 
 def encode_words(words: DataFrame, buckets: int, path: str) -> DataFrame:
-    """bucket, block, ids: every word belongs to one bucket, whose task encodes it once for all blocks."""
+    """bucket, block, ids, other: every word belongs to one bucket, whose task encodes it once for all blocks.
+
+    other: for each word 1 and its decoded bytes, or nothing where these are the word; null if all are.
+    """
 
     def run(batches):
-        known = WordIds(path)
+        now, known, differs, piece = None, None, {}, pieces(path)
         for b in batches:
-            out = []
-            for packed in b.column("words").to_pylist():
-                ws = [w.decode("utf-8", "surrogatepass") for w in unpack_bytes(packed)]
-                known.learn(ws)
+            out, other = [], []
+            for bucket, packed in zip(b.column("bucket").to_pylist(), b.column("words").to_pylist(), strict=True):
+                if bucket != now:
+                    now, known, differs = bucket, WordIds(path), {}
+                raw = unpack_bytes(packed)
+                ws = [w.decode("utf-8", "surrogatepass") for w in raw]
+                for w in known.learn(ws):
+                    decoded = b"".join([piece[i] for i in np.frombuffer(known[w], "<u4").tolist()])
+                    if decoded != w.encode("utf-8", "surrogatepass"):
+                        differs[w] = b"\1" + decoded
                 out.append(pack_bytes([known[w] for w in ws]))
-            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("block"), pa.array(out, pa.binary())], ["bucket", "block", "ids"])
+                other.append(pack_bytes([differs.get(w, b"") for w in ws]) if differs and not differs.keys().isdisjoint(ws) else None)
+            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("block"), pa.array(out, pa.binary()), pa.array(other, pa.binary())], ["bucket", "block", "ids", "other"])
 
-    return words.repartition(buckets, "bucket").mapInArrow(run, "bucket int, block int, ids binary")
+    return words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, block int, ids binary, other binary")
 
 
-def join_by_position(dealt: DataFrame, encoded: DataFrame, buckets: int, path: str, finish, schema: pa.Schema, ddl: str) -> DataFrame:
+def join_by_position(dealt: DataFrame, encoded: DataFrame, buckets: int, finish, schema: pa.Schema, ddl: str) -> DataFrame:
     """finish(words, ids, decoded) of every text; ids and decoded map a word to its ids in decimal and its bytes.
 
-    The ids of a bucket stand in the order of the block's sorted words. Ids are looked up in the id-to-piece table.
+    The ids of a bucket stand in the order of the block's sorted words.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
-        piece = pieces(path)
         words = _vocabulary(left, buckets)
         ids: dict[str, str] = {}
         decoded: dict[str, bytes] = {}
-        for bucket, packed in zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True):
-            for raw, own in zip(words[bucket], unpack_bytes(packed), strict=True):
-                w, got = raw.decode("utf-8", "surrogatepass"), np.frombuffer(own, "<u4").tolist()
-                ids[w] = "".join([f"{i}," for i in got])
-                decoded[w] = b"".join([piece[i] for i in got])
+        for bucket, packed, other in zip(*(right.column(c).to_pylist() for c in ("bucket", "ids", "other")), strict=True):
+            own = unpack_bytes(packed)
+            texts = unpack_bytes(other) if other else [b""] * len(own)
+            flat = list(map(str, np.frombuffer(b"".join(own), "<u4").tolist()))
+            at = 0
+            for raw, one, text in zip(words[bucket], own, texts, strict=True):
+                w, n = raw.decode("utf-8", "surrogatepass"), len(one) // 4
+                ids[w] = ",".join(flat[at : at + n]) + "," if n else ""
+                decoded[w] = text[1:] if text else raw
+                at += n
         rows = []
         for chunk in left.to_batches(max_chunksize=256):
             for doc, raw in zip(chunk.column("doc_id").to_pylist(), raw_texts(chunk.column("z")), strict=True):
@@ -235,9 +250,9 @@ def _ids(words: list[str], ids: dict, decoded: dict) -> tuple:
 def _run(docs: DataFrame, path: str | None, block_bytes: int, finish, schema, ddl) -> DataFrame:
     path = path or default_path()
     n = block_count(docs, block_bytes)
-    buckets = min(n, MAX_BUCKETS)
+    buckets = bucket_count(docs.sparkSession, n)
     dealt = deal(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], n)
-    return join_by_position(dealt, encode_words(distinct_words(dealt, buckets), buckets, path), buckets, path, finish, schema, ddl)
+    return join_by_position(dealt, encode_words(distinct_words(dealt, buckets), buckets, path), buckets, finish, schema, ddl)
 
 
 def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
