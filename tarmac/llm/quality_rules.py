@@ -1,16 +1,21 @@
 """Quality rules as a short-circuit cascade (native: DataFrame functions only).
 
-Features come from whole texts inside one row, without a shuffle. The order of the rules is chosen on a
-sample: each rule's cost is timed there and its rejections counted, and rules run by rejections per second.
-The order changes the work, not the verdict.
-
-Defined results: null text counts as empty and fails; null doc_id and repeated rows pass through row by row;
-an empty table gives an empty table; other columns of the input never clash, as only doc_id and text are read.
+Features come from whole texts inside one row, without a shuffle. The order of the rules, the base ones included,
+is chosen on a sample of texts: each rule's own expression is timed on them and its rejections counted, and rules
+run by rejections per second. A text is split into words once; every other feature is computed only if no
+earlier rule rejects the row. The order changes the work, not the verdict; rates within a factor of two count as
+equal and leave the given order, so that it hardly depends on the clock.
+
+Defined results: null text counts as empty and fails; null doc_id and repeated rows pass through row by row; texts of
+any length count whole; an empty table gives an empty table and the given order; the query reads doc_id and
+text only, and keep_passing carries all columns in one struct, so that no name clashes.
 """
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,129 +24,188 @@ from pyspark.sql import functions as F
 from .common import WHITE, Workspace, let, words_of
 
 SYMBOLS = "#*$%&|<>"
-#: Bits of a packed long that hold a word's place; the rest hold its window's hash.
+#: Texts of fewer than 2 ** PLACE_BITS words pack a window's place with its hash into a long; others use structs.
 PLACE_BITS = 26
 #: Share of rows that the rule order is estimated on, before the cap of sample_rows.
 SAMPLE_SHARE = 0.02
 
 
-@dataclass(frozen=True)
-class Rule:
-    """A named rejection; `reject` is a Column over the features, null counts as not rejected."""
+class Packed:
+    """A window's hash and place in one long, the place in the low bits."""
 
-    name: str
-    reject: Column
+    def pack(self, h: Column, place: Column) -> Column:
+        return F.shiftleft(h, PLACE_BITS).bitwiseOR(place.cast("long"))
 
+    def place(self, x: Column) -> Column:
+        return x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
 
-def repeat_words(words: Column, n: int = 3) -> Column:
-    """Words covered by n-word windows found twice or more in the array, first windows included.
+    def near(self, x: Column, y: Column) -> Column:
+        return F.shiftright(x.bitwiseXOR(y), PLACE_BITS) == 0
 
-    Windows are hashed and packed with their place into longs, sorted, and neighbours with equal hashes are
-    compared word by word. Linear space, n log n time, all within the row.
-    """
-    mask = (1 << PLACE_BITS) - 1
 
-    def packed(w: Column) -> Column:
-        place = F.sequence(F.lit(0), F.size(w) - n)
-        return F.transform(place, lambda i: F.shiftleft(F.xxhash64(*[F.get(w, i + k) for k in range(n)]), PLACE_BITS).bitwiseOR(i.cast("long")))
+class Paired:
+    """A window's hash and place as a struct."""
 
-    def place(x: Column) -> Column:
-        return x.bitwiseAND(F.lit(mask)).cast("int")
+    def pack(self, h: Column, place: Column) -> Column:
+        return F.struct(h.alias("h"), place.alias("at"))
 
-    def twins(s: Column) -> Column:
-        """Entries whose hash equals a neighbour's; a null comparison at either end counts as no."""
+    def place(self, x: Column) -> Column:
+        return x["at"]
 
-        def near(x: Column, y: Column) -> Column:
-            return F.shiftright(x.bitwiseXOR(y), PLACE_BITS) == 0
+    def near(self, x: Column, y: Column) -> Column:
+        return x["h"] == y["h"]
 
-        return F.filter(s, lambda x, j: near(x, F.get(s, j - 1)) | near(x, F.get(s, j + 1)))
+
+def _repeated_words(words: Column, n: int, form) -> Column:
+    def entries(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: form.pack(F.xxhash64(*[F.get(w, i + k) for k in range(n)]), i))
+
+    def twins(s: Column) -> Column:
+        """Entries whose hash equals a neighbour's; a null comparison at either end counts as no."""
+        return F.filter(s, lambda x, j: form.near(x, F.get(s, j - 1)) | form.near(x, F.get(s, j + 1)))
 
     def repeated(w: Column, s: Column) -> Column:
-        """Places of twins whose words are equal too, up to two entries away for the case of equal hashes of other words."""
+        """Places of twins with the same words as another; only where hashes deceive is that one not a neighbour."""
 
         def same(x: Column, y: Column) -> Column:
-            eq = F.lit(True)
+            eq = form.place(x) != form.place(y)
             for k in range(n):
-                eq = eq & (F.get(w, place(x) + k) == F.get(w, place(y) + k))
+                eq = eq & (F.get(w, form.place(x) + k) == F.get(w, form.place(y) + k))
             return F.coalesce(eq, F.lit(False))
 
-        kept = F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)) | same(x, F.get(s, j - 2)) | same(x, F.get(s, j + 2)))
-        return F.sort_array(F.transform(kept, place))
+        kept = F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)) | F.exists(s, lambda y: F.when(form.near(x, y), same(x, y)).otherwise(False)))
+        return F.sort_array(F.transform(kept, form.place))
 
     def covered(p: Column) -> Column:
         zero = F.struct(F.lit(-n).alias("last"), F.lit(0).cast("long").alias("total"))
         return F.aggregate(p, zero, lambda a, x: F.struct(x.alias("last"), (a["total"] + F.least(F.lit(n), x - a["last"])).alias("total")), lambda a: a["total"])
 
-    found = let(words, lambda w: let(F.sort_array(packed(w)), lambda s: let(twins(s), lambda t: covered(repeated(w, t)))))
-    return F.when(F.size(words) >= n, found).otherwise(F.lit(0).cast("long"))
+    return let(F.sort_array(entries(words)), lambda s: let(twins(s), lambda t: covered(repeated(words, t))))
 
 
-def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words of the whole text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
-    return (
-        docs.withColumn("_w", words_of(t))
-        .withColumn("_l", lines)
-        .select(
-            *docs.columns,
-            F.size("_w").cast("long").alias("n_words"),
-            F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-            (F.size(F.split(t, f"[{SYMBOLS}]")) - 1).cast("long").alias("n_symbols"),
-            F.size("_l").cast("long").alias("n_lines"),
-            (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-            repeat_words(F.col("_w")).alias("n_repeat_words"),
-        )
-    )
-
-
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def repeat_words(words: Column, n: int = 3) -> Column:
+    """Words covered by n-word windows found twice or more in the array, first windows included.
+
+    Windows are hashed, sorted by their hashes, and those with equal hashes compared word by word. Linear space,
+    n log n time, all within the row.
+    """
+    return let(words, lambda w: F.when(F.size(w) < n, F.lit(0).cast("long")).when(F.size(w) < 1 << PLACE_BITS, _repeated_words(w, n, Packed())).otherwise(_repeated_words(w, n, Paired())))
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
+
+
+class Features:
+    """The features that rules speak of: expressions over a text and its words, or columns that hold them already."""
+
+    NAMES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+    def __init__(self, text: Column | None = None, words: Column | None = None):
+        self.text, self.words = text, words
+
+    def __getattr__(self, name: str) -> Column:
+        if name not in self.NAMES:
+            raise AttributeError(name)
+        if self.text is None:
+            return F.col(name)
+        t, w = self.text, self.words
+        found = {
+            "n_words": lambda: F.size(w),
+            "word_chars": lambda: F.length(F.array_join(w, "")),
+            "n_symbols": lambda: F.size(F.split(t, f"[{SYMBOLS}]")) - 1,
+            "n_lines": lambda: F.size(_lines(t)),
+            "n_dup_lines": lambda: let(_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))),
+            "n_repeat_words": lambda: repeat_words(w),
+        }
+        return found[name]().cast("long")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A named rejection; `reject` makes a Column from Features, null counts as not rejected."""
+
+    name: str
+    reject: Callable[[Features], Column]
+
+
+#: The rules whose rejection is base_failed.
+BASE = (Rule("few_words", lambda f: f.n_words < 50), Rule("repeats", lambda f: 100 * f.n_repeat_words > 50 * f.n_words))
 
 
 def default_rules() -> list[Rule]:
-    """Rejections besides the base ones. Each leaves a wide margin around ordinary prose."""
-    n = F.col("n_words")
+    """The base rules, and rejections that each leave a wide margin around ordinary prose."""
     return [
-        Rule("symbols", 10 * F.col("n_symbols") > 3 * n),
-        Rule("dup_lines", (F.col("n_lines") >= 4) & (100 * F.col("n_dup_lines") > 50 * F.col("n_lines"))),
-        Rule("short_words", 10 * F.col("word_chars") < 20 * n),
-        Rule("long_words", F.col("word_chars") > 20 * n),
+        *BASE,
+        Rule("symbols", lambda f: 10 * f.n_symbols > 3 * f.n_words),
+        Rule("dup_lines", lambda f: (f.n_lines >= 4) & (100 * f.n_dup_lines > 50 * f.n_lines)),
+        Rule("short_words", lambda f: 10 * f.word_chars < 20 * f.n_words),
+        Rule("long_words", lambda f: f.word_chars > 20 * f.n_words),
     ]
 
 
-def plan_cascade(features: DataFrame, rules: list[Rule], ws: Workspace, sample_rows: int = 2000) -> list[tuple[Rule, float, float]]:
-    """Rules with (seconds, share rejected) on a sample of at most sample_rows rows, best rejection per cost first.
-
-    The sample only sets the order. An empty sample keeps the given order.
-    """
-    sample = ws.write(features.limit(sample_rows), "sample")
-    n = sample.count()
-    found = []
-    for r in rules:
-        began = time.perf_counter()
-        hit = sample.agg(F.count_if(r.reject)).head()[0] or 0
-        found.append((r, time.perf_counter() - began, hit / n if n else 0.0))
-    return sorted(found, key=lambda x: -(x[2] / max(x[1], 1e-6)))
+def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add the features of the whole text."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    f = Features(t, F.col("_w"))
+    return docs.withColumn("_w", words_of(t)).select(*docs.columns, *[getattr(f, n).alias(n) for n in Features.NAMES])
 
 
-def cascade(rules: list[Rule]) -> Column:
+def cascade(rules: list[Rule], f: Features) -> Column:
     """Name of the first rule that rejects, in this order; later rules aren't evaluated. Null: none rejects."""
     c = None
     for r in rules:
-        hit = F.coalesce(r.reject, F.lit(False))
+        hit = F.coalesce(r.reject(f), F.lit(False))
         c = F.when(hit, F.lit(r.name)) if c is None else c.when(hit, F.lit(r.name))
     return F.lit(None).cast("string") if c is None else c
 
 
-def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
-    """docs' doc_id and text with features, base_failed, rejected_by and kept."""
-    ws = Workspace(docs.sparkSession, "quality-rules")
+def rejected_by(rules: list[Rule], text: str = "text") -> Column:
+    """The cascade over a raw text, which is split into words once."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return let(words_of(t), lambda w: cascade(rules, Features(t, w)))
+
+
+def _seconds(sample: DataFrame, value: Column, times: int = 3) -> tuple[float, int]:
+    """The shortest of some runs over the sample, and how many rows the value isn't null for."""
+    spent = []
+    for _ in range(times):
+        began = time.perf_counter()
+        n = sample.agg(F.count(value)).head()[0]
+        spent.append(time.perf_counter() - began)
+    return min(spent), n
+
+
+def plan_cascade(docs: DataFrame, rules: list[Rule], ws: Workspace, sample_rows: int = 2000) -> list[tuple[Rule, float, float]]:
+    """Rules with (seconds, share rejected) on a sample of at most sample_rows texts, most rejections per second first.
+
+    A rule's seconds are those of its own expression over the raw texts, less those of splitting them into words.
+    The sample only sets the order; an empty one keeps the given order.
+    """
+    sample = ws.write(docs.select("text").limit(sample_rows), "sample")
+    least, n = _seconds(sample, rejected_by([Rule("split", lambda f: f.n_words < 0)]))[0], sample.count()
+    found = []
+    for place, r in enumerate(rules):
+        spent, hit = _seconds(sample, rejected_by([r])) if n else (0.0, 0)
+        spent = max(spent - least, 1e-3)
+        rate = math.floor(math.log2(hit / n / spent)) if hit else -math.inf
+        found.append((-rate, spent if rate == -math.inf else 0.0, place, r, spent, hit / n if n else 0.0))
+    ws.drop(sample)
+    return [(r, spent, share) for *_, r, spent, share in sorted(found, key=lambda x: x[:3] if n else x[2:3])]
+
+
+def _order(docs: DataFrame, rules: list[Rule] | None, sample_rows: int) -> list[Rule]:
     rules = default_rules() if rules is None else rules
-    d = docs.select("doc_id", "text")
-    order = [r for r, _, _ in plan_cascade(with_features(d.sample(SAMPLE_SHARE, seed=1)).drop("text"), rules, ws, sample_rows)]
-    f = with_features(d).withColumn("base_failed", base_failed())
-    return f.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(order))).withColumn("kept", F.col("rejected_by").isNull())
+    sample = docs.select("text").sample(SAMPLE_SHARE, seed=1)
+    return [r for r, _, _ in plan_cascade(sample, rules, Workspace(docs.sparkSession, "quality-rules"), sample_rows)]
+
+
+def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
+    """docs' doc_id and text with all features, base_failed, rejected_by and kept."""
+    own = Features()
+    base = [F.coalesce(r.reject(own), F.lit(False)) for r in BASE]
+    f = with_features(docs.select("doc_id", "text")).withColumn("base_failed", base[0] | base[1])
+    return f.withColumn("rejected_by", cascade(_order(docs, rules, sample_rows), own)).withColumn("kept", F.col("rejected_by").isNull() & ~F.col("base_failed"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -175,9 +239,7 @@ FROM f
 """
 
 
-def keep_passing(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
-    """The documents that no rule rejects, with the columns of docs."""
-    ws = Workspace(docs.sparkSession, "quality-rules")
-    order = [r for r, _, _ in plan_cascade(with_features(docs.select("doc_id", "text").sample(SAMPLE_SHARE, seed=1)).drop("text"), default_rules(), ws, sample_rows)]
-    inner = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    return with_features(inner).where(~base_failed()).where(cascade(order).isNull()).select("row.*")
+def keep_passing(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
+    """The documents that no rule rejects, with the columns of docs; a rejected row costs no more than the rules up to its own."""
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+    return inner.where(rejected_by(_order(docs, rules, sample_rows)).isNull()).select("row.*")
