@@ -2,10 +2,12 @@
 
 Reading decodes the index boxes only, never the payload: `read_tracks` walks nested boxes, decodes the sample
 tables with array arithmetic and gives codec, duration and the byte ranges of sync samples per track.
+Sizes may be fixed, listed or compact; movie fragments add their runs of samples to their tracks. Edit lists and
+composition times change neither byte ranges nor a track's duration and aren't read.
 `media_columns` applies it to a binary column; `store_texts` writes texts as 8-bit PCM tracks.
 
 Defined results: null or empty media, no movie box, and truncated or contradictory tables give zero tracks and
-an `error` text, never an exception; null text is stored as 64 zero bytes; repeated rows give equal values; an
+an `error` text, never an exception (no table is expanded before its counts fit into the file); null text is stored as 64 zero bytes; repeated rows give equal values; an
 empty table gives an empty table; only the named columns are read.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 #: Boxes whose payload is a list of boxes.
-CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"udta"))
+CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"udta", b"moof", b"traf"))
 MAX_DEPTH = 16
 #: Stored texts: mono 8-bit samples at this rate, cut into chunks of so many samples; padded to BLOCK bytes.
 RATE, CHUNK, BLOCK = 8000, 4096, 64
@@ -44,6 +46,10 @@ class Track:
     height: int = 0
     tables: dict = field(default_factory=dict)
     n_samples: int = 0
+    number: int = 0
+    #: Of movie fragments: (start, size, is sync) of their samples, as arrays, and their duration.
+    fragments: list = field(default_factory=list)
+    fragment_time: int = 0
     #: Merged [start, end) byte ranges of all samples and of sync samples.
     ranges: np.ndarray = field(default_factory=lambda: np.empty((0, 2), "i8"))
     keyframes: np.ndarray = field(default_factory=lambda: np.empty((0, 2), "i8"))
@@ -76,21 +82,89 @@ def _table(buf: memoryview, start: int, end: int, kind: str, width: int) -> np.n
     return np.frombuffer(buf, kind, n * width, start + 8).astype("i8").reshape(n, width)
 
 
-def _walk(buf: memoryview, start: int, end: int, track: Track | None, found: list[Track], depth: int) -> None:
+@dataclass
+class Fragment:
+    """Where the samples of a movie fragment's tracks stand, and the defaults of each track (duration, size, flags)."""
+
+    defaults: dict = field(default_factory=dict)
+    begin: int = 0
+    at: int = 0
+    number: int = 0
+    now: tuple = (0, 0, 0)
+
+    def header(self, buf: memoryview, a: int) -> None:
+        """A track's part begins."""
+        flags, self.number = struct.unpack_from(">II", buf, a)
+        a += 8
+        duration, size, sample = self.defaults.get(self.number, (0, 0, 0))
+        if flags & 0x1:
+            self.at = struct.unpack_from(">Q", buf, a)[0]
+            a += 8
+        elif flags & 0x20000:
+            self.at = self.begin
+        self.base = self.at
+        a += 4 * bool(flags & 0x2)
+        if flags & 0x8:
+            duration, a = struct.unpack_from(">I", buf, a)[0], a + 4
+        if flags & 0x10:
+            size, a = struct.unpack_from(">I", buf, a)[0], a + 4
+        if flags & 0x20:
+            sample = struct.unpack_from(">I", buf, a)[0]
+        self.now = duration, size, sample
+
+    def run(self, buf: memoryview, a: int, b: int, track: Track) -> None:
+        """Samples that follow each other."""
+        flags, n = struct.unpack_from(">II", buf, a)
+        a += 8
+        duration, size, sample = self.now
+        if flags & 0x1:
+            self.at, a = self.base + struct.unpack_from(">i", buf, a)[0], a + 4
+        first = None
+        if flags & 0x4:
+            first, a = struct.unpack_from(">I", buf, a)[0], a + 4
+        columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+        if a + 4 * n * len(columns) > b or n * max(size, 1) > len(buf) and 0x200 not in columns:
+            raise MediaError("run of samples longer than its box or the file")
+        table = np.frombuffer(buf, ">u4", n * len(columns), a).astype("i8").reshape(n, len(columns))
+        sizes = table[:, columns.index(0x200)] if 0x200 in columns else np.full(n, size, "i8")
+        kinds = table[:, columns.index(0x400)].copy() if 0x400 in columns else np.full(n, sample, "i8")
+        if first is not None and n:
+            kinds[0] = first
+        track.fragments.append((self.at + np.cumsum(sizes) - sizes, sizes, kinds & 0x10000 == 0))
+        track.fragment_time += int(table[:, columns.index(0x100)].sum()) if 0x100 in columns else n * duration
+        self.at += int(sizes.sum())
+
+
+def _walk(buf: memoryview, start: int, end: int, track: Track | None, found: list[Track], depth: int, part: Fragment) -> None:
     if depth > MAX_DEPTH:
         raise MediaError("boxes nested too deeply")
+    before = start
     for kind, a, b in boxes(buf, start, end):
+        if kind == b"moof":
+            part.begin = part.at = before
+        before = b
         if kind == b"trak":
             found.append(t := Track())
-            _walk(buf, a, b, t, found, depth + 1)
+            _walk(buf, a, b, t, found, depth + 1, part)
         elif kind in CONTAINERS:
-            _walk(buf, a, b, track, found, depth + 1)
+            _walk(buf, a, b, track, found, depth + 1, part)
+        elif kind == b"trex":
+            number, _, *defaults = struct.unpack_from(">5I", buf, a + 4)
+            part.defaults[number] = tuple(defaults)
+        elif kind == b"tfhd":
+            part.header(buf, a)
+        elif kind == b"trun":
+            owner = next((t for t in found if t.number == part.number), None)
+            if owner is None:
+                raise MediaError("fragment of an unknown track")
+            part.run(buf, a, b, owner)
         elif track is None:
             continue
         elif kind == b"mdhd":
             wide = buf[a] == 1
             track.timescale, track.duration = struct.unpack_from(">IQ" if wide else ">II", buf, a + (20 if wide else 12))
         elif kind == b"tkhd":
+            track.number = struct.unpack_from(">I", buf, a + (20 if buf[a] == 1 else 12))[0]
             w, h = struct.unpack_from(">II", buf, b - 8)
             track.width, track.height = w >> 16, h >> 16
         elif kind == b"hdlr":
@@ -108,11 +182,23 @@ def _walk(buf: memoryview, start: int, end: int, track: Track | None, found: lis
         elif kind == b"stsz":
             fixed, n = struct.unpack_from(">II", buf, a + 4)
             if fixed:
+                if fixed * n > len(buf):
+                    raise MediaError("more samples than the file can hold")
                 track.tables["stsz"] = (fixed, n)
             else:
                 if a + 12 + 4 * n > b:
                     raise MediaError("table longer than its box")
                 track.tables["stsz"] = (np.frombuffer(buf, ">u4", n, a + 12).astype("i8"), n)
+        elif kind == b"stz2":
+            bits, n = buf[a + 7], struct.unpack_from(">I", buf, a + 8)[0]
+            if bits not in (4, 8, 16) or a + 12 + (n * bits + 7) // 8 > b:
+                raise MediaError("bad compact sizes")
+            if bits == 4:
+                halves = np.frombuffer(buf, "u1", (n + 1) // 2, a + 12)
+                sizes = np.stack([halves >> 4, halves & 15], 1).reshape(-1)[:n]
+            else:
+                sizes = np.frombuffer(buf, "u1" if bits == 8 else ">u2", n, a + 12)
+            track.tables["stsz"] = (sizes.astype("i8"), n)
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -156,6 +242,12 @@ def _resolve(t: Track, total: int) -> None:
             if len(sync) and (sync.min() < 1 or sync.max() > n):
                 raise MediaError("sync sample out of range")
             t.keyframes = _merged(start[sync - 1], ends[sync - 1])
+    if t.fragments:
+        start, size, sync = (np.concatenate(x) for x in zip(*t.fragments, strict=True))
+        t.n_samples += len(start)
+        t.duration = max(t.duration, t.fragment_time)
+        t.ranges = np.concatenate([t.ranges, _merged(start, start + size)])
+        t.keyframes = np.concatenate([t.keyframes, _merged(start[sync], (start + size)[sync])])
     if len(t.ranges) and (t.ranges.max() > total or t.ranges.min() < 0):
         raise MediaError("samples outside the file")
 
@@ -165,7 +257,7 @@ def read_tracks(data: bytes) -> list[Track]:
     buf = memoryview(data)
     found: list[Track] = []
     try:
-        _walk(buf, 0, len(buf), None, found, 0)
+        _walk(buf, 0, len(buf), None, found, 0, Fragment())
         for t in found:
             _resolve(t, len(buf))
     except (struct.error, IndexError, ValueError) as e:
