@@ -34,7 +34,8 @@ from .url_filters import host_of
 #: Different main texts beside a subtree that make it a template.
 MIN_DISTINCT = 5
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*'|["'])*)(?:>|(?=<)|\Z)""", re.S)
+#: A comment, a declaration, or a tag; quoted values run to their closing quotes, whatever they hold.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>"'<=]+|[="'])*+)(?:>|(?=<)|\Z)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[a-z]+")
 
