@@ -29,8 +29,7 @@ def classify(spark, a) -> None:
     raw = read(spark, a.input)
     wo = detect.internal(raw).withColumn("wo_id", F.monotonically_increasing_id().cast("string"))
     wo = wo.select("wo_id", F.col("Defect_Text").alias("defect"), F.col("Rectification_Text").alias("action"), F.col("WO_Type").alias("wo_type"), F.col("ATA04_Entered").alias("entered"))
-    best = catalog.match(catalog.load(spark, a.catalog), wo, "wo_id", "defect", "action", 1) if a.catalog else None
-    registry.decided(wo, best).write.mode("overwrite").parquet(a.out)
+    registry.decided(wo, catalog.load(spark, a.catalog) if a.catalog else None).write.mode("overwrite").parquet(a.out)
     decision.decision_stats(spark.read.parquet(a.out)).show(50, False)
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from . import codes
 from . import lexicons as L
+from .text import let, on_distinct
 
+# The three forms of citations.
 _SEQ = r"(?:\d{2}[- ]?\d{2}(?:[- ]?\d{2,3}){0,3}|\d{6,8})"
 PREFIXED = rf"(?iU)\b(TSM|IPC|AMM|FIM|CMM|WDM|SRM)\s*[-:]?\s*({_SEQ})\b"
 COMPONENT = rf"(?iU)\bCMM\s*[-:]?\s*{_SEQ}\b"
@@ -30,16 +32,18 @@ def priority(manual: Column) -> Column:
 
 
 def _citation(manual: Column, raw: Column, seq: Column, source: str, compat: bool) -> Column:
-    norm = codes.sequence(seq, compat)
-    return F.struct(
-        priority(manual).alias("priority"),
-        norm.alias("normalized"),
-        manual.alias("manual"),
-        codes.of_sequence(norm).alias("ata04"),
-        F.regexp_replace(norm, r"^\d{2}-\d{2}-?", "").alias("task"),
-        raw.alias("raw"),
-        F.lit(source).alias("source"),
-    )
+    def parts(norm: Column) -> Column:
+        return F.struct(
+            priority(manual).alias("priority"),
+            norm.alias("normalized"),
+            manual.alias("manual"),
+            codes.of_sequence(norm).alias("ata04"),
+            F.regexp_replace(norm, r"^\d{2}-\d{2}-?", "").alias("task"),
+            raw.alias("raw"),
+            F.lit(source).alias("source"),
+        )
+
+    return let(codes.sequence(seq, compat), parts)
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
@@ -52,9 +56,13 @@ def extract(text: Column, exclude_component: bool = True, compat: bool = False)
     exclude_component: component manuals don't count, nor do their digits in another form; with compat the
     digits after a component manual are found again as a bare task.
     """
-    t = F.coalesce(text, F.lit(""))
+    return let(F.coalesce(text, F.lit("")), lambda t: _extract(t, exclude_component, compat))
+
+
+def _extract(t: Column, exclude_component: bool, compat: bool) -> Column:
     rest = F.regexp_replace(t, COMPONENT, " ") if exclude_component and not compat else t
-    named = F.transform(_all(t, PREFIXED, 0), lambda raw: _citation(F.upper(F.regexp_extract(raw, PREFIXED, 1)), raw, F.regexp_extract(raw, PREFIXED, 2), "prefix", compat))
+    found = _all(t, PREFIXED, 0)
+    named = F.transform(found, lambda raw: let(F.upper(F.regexp_extract(raw, PREFIXED, 1)), lambda m: _citation(m, raw, F.regexp_extract(raw, PREFIXED, 2), "prefix", compat)))
     tasks = F.transform(_all(rest, TASK, 1), lambda raw: _citation(F.lit("UNKNOWN"), raw, raw, "task", compat))
     compact = F.transform(
         F.filter(_all(rest, COMPACT, 1), lambda x: ~((F.length(x) == 8) & x.rlike("^(19|20)"))),
@@ -62,9 +70,11 @@ def extract(text: Column, exclude_component: bool = True, compat: bool = False)
     )
     if exclude_component:
         named = F.filter(named, lambda x: x["manual"] != "CMM")
-    ordered = F.array_sort(F.concat(named, tasks, compact))
-    none = F.slice(ordered, 1, 0)
-    return F.aggregate(ordered, none, lambda seen, x: F.when(F.exists(seen, lambda y: y["normalized"] == x["normalized"]), seen).otherwise(F.array_append(seen, x)))
+
+    def first_of_each(ordered: Column) -> Column:
+        return F.filter(ordered, lambda x, i: ~F.exists(F.slice(ordered, 1, i), lambda y: y["normalized"] == x["normalized"]))
+
+    return let(F.array_sort(F.concat(named, tasks, compact)), first_of_each)
 
 
 def best(text: Column, exclude_component: bool = True, compat: bool = False) -> Column:
@@ -72,6 +82,11 @@ def best(text: Column, exclude_component: bool = True, compat: bool = False) ->
     return F.get(F.filter(extract(text, exclude_component, compat), lambda x: x["ata04"].isNotNull()), F.lit(0))
 
 
+def with_citations(df, *texts: str, exclude_component: bool = True, compat: bool = False):
+    """df with `citations` of its texts together, best first; distinct texts are read once."""
+    return on_distinct(df, list(texts), lambda d: d.withColumn("citations", extract(F.concat_ws("\n", *texts), exclude_component, compat)))
+
+
 def legacy(text: Column) -> Column:
     """Citations with component manuals kept, five fields."""
     return F.transform(extract(text, exclude_component=False), lambda x: F.struct(x["manual"], x["raw"], x["normalized"], x["ata04"], x["task"]))

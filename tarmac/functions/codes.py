@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def ata04(c: Column, strict: bool = False) -> Column:
     """The first four digits anywhere as AA-BB, null if there are fewer.
@@ -58,17 +60,24 @@ def sequence(c: Column, compat: bool = False) -> Column:
     Groups already written stay; a run is cut into pairs, with three digits in the last group where the length is
     odd. compat: the rest is cut into threes first, then twos, whatever was written.
     """
-    digits = F.regexp_replace(c, r"\D", "")
+    return let(F.regexp_replace(c, r"\D", ""), lambda digits: _sequence(c, digits, compat))
+
+
+def _sequence(c: Column, digits: Column, compat: bool) -> Column:
     rest = F.substring(digits, 5, 64)
-    cut = r"(\d{3}|\d{2}|\d)" if compat else r"(\d{3}(?=$)|\d{2}|\d)"
-    if not compat:
-        odd = F.length(rest) % 2 == 1
-        chunks = F.when(odd, F.regexp_extract_all(rest, F.lit(r"(\d{3}(?=$)|\d{2}(?=\d)|\d)"), F.lit(1))).otherwise(F.regexp_extract_all(rest, F.lit(r"(\d{2})"), F.lit(1)))
-        whole = F.concat_ws("-", F.substring(digits, 1, 2), F.substring(digits, 3, 2), chunks)
-        written = F.regexp_replace(F.regexp_replace(c, r"[\s-]+", "-"), r"^-|-$", "")
-        return F.when(F.length(digits) < 4, c).when(written.rlike(r"^\d{2}-\d{2}(?:-\d{2,3})*$"), written).otherwise(whole)
-    chunks = F.regexp_extract_all(rest, F.lit(cut), F.lit(1))
-    return F.when(F.length(digits) < 4, c).otherwise(F.concat_ws("-", F.substring(digits, 1, 2), F.substring(digits, 3, 2), chunks))
+    head = (F.substring(digits, 1, 2), F.substring(digits, 3, 2))
+    if compat:
+        chunks = F.regexp_extract_all(rest, F.lit(r"(\d{3}|\d{2}|\d)"), F.lit(1))
+        return F.when(F.length(digits) < 4, c).otherwise(F.concat_ws("-", *head, chunks))
+    odd = F.length(rest) % 2 == 1
+    chunks = F.regexp_extract_all(rest, F.lit(r"(\d{3}(?=$)|\d{2}(?=\d)|\d)"), F.lit(1))
+    pairs = F.regexp_extract_all(rest, F.lit(r"(\d{2})"), F.lit(1))
+    whole = F.concat_ws("-", *head, F.when(odd, chunks).otherwise(pairs))
+
+    def as_written(written: Column) -> Column:
+        return F.when(written.rlike(r"^\d{2}-\d{2}(?:-\d{2,3})*$"), written).otherwise(whole)
+
+    return F.when(F.length(digits) < 4, c).otherwise(let(F.regexp_replace(F.regexp_replace(c, r"[\s-]+", "-"), r"^-|-$", ""), as_written))
 
 
 def of_sequence(c: Column) -> Column:

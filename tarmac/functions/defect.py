@@ -1,4 +1,8 @@
-"""Whether a work order reports a technical defect: weighted pattern families, or keyword lists."""
+"""Whether a work order reports a technical defect: weighted pattern families, or keyword lists.
+
+Work orders repeat their texts, and a text costs hundreds of times more to classify than to shuffle: distinct texts are
+classified, and the results joined back.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .text import squeeze, strip
+from .text import nfkc_of, on_distinct, squeeze, strip
 
 
 def _joined(desc: Column, action: Column, compat: bool) -> Column:
@@ -21,22 +25,22 @@ def _joined(desc: Column, action: Column, compat: bool) -> Column:
 def without_meta(text: Column) -> Column:
     """Text without notes in parentheses and without lines of paperwork, unless a line has a warning or symptom."""
     lines = F.split(F.regexp_replace(text, L.FLAGS + L.PAREN_META, " "), r"[\r\n]+")
-    telling = L.any_of([*L.FAMILIES["warn_ctx"]["en"], *L.FAMILIES["strong_symptom"]["en"], *L.FAMILIES["strong_symptom"]["vi"]])
-    kept = F.filter(lines, lambda x: x.rlike(telling) | ~x.rlike(L.any_of(L.META_LINES)))
+    telling = L.any_of([*L.FAMILIES["warn_ctx"], *L.FAMILIES["strong_symptom"]])
+    kept = F.filter(lines, lambda x: ~x.rlike(L.bare(L.META_LINES)) | x.rlike(telling))
     return squeeze(F.array_join(kept, " "))
 
 
-def hit_counts(text: Column, languages=("en", "vi")) -> dict[str, Column]:
-    return {name: F.regexp_count(text, F.lit(L.family(name, languages))) for name in L.FAMILIES}
+def hit_counts(text: Column, ascii_only: bool = False) -> dict[str, Column]:
+    return {name: F.regexp_count(text, F.lit(L.family(name, ascii_only))) for name in L.FAMILIES}
 
 
 def with_scores(df: DataFrame, desc: str, action: str, wo_type: str | None = None, compat: bool = False) -> DataFrame:
-    """df with `_text`, a count for each family (`h_...`), defect_score, nondef_score and scheduled."""
-    typed = squeeze(F.col(wo_type)) if wo_type else F.lit("")
+    """df with `_text` in NFKC, a count for each family (`h_...`), defect_score, nondef_score and scheduled."""
+    typed = squeeze(nfkc_of(F.col(wo_type))) if wo_type else F.lit("")
     t = F.col("_text")
-    one = df.withColumn("_text", without_meta(_joined(F.col(desc), F.col(action), compat)))
+    one = df.withColumn("_text", nfkc_of(_joined(F.col(desc), F.col(action), compat))).withColumn("_text", without_meta(t))
     one = one.select("*", *[c.alias(f"h_{k}") for k, c in hit_counts(t).items()], typed.rlike(L.any_of(L.SCHEDULED_TYPE)).alias("scheduled"))
-    boosted = F.col("h_defect_with_context") + (t.rlike(L.FLAGS + L.NRC_FINDING) & t.rlike(L.FLAGS + L.NRC_SUPPORT)).cast("int")
+    boosted = F.col("h_defect_with_context") + (t.rlike(L.FLAGS + L.NRC_FINDING) & t.rlike(L.any_of(L.NRC_SUPPORT))).cast("int")
     damped = F.when((F.col("h_instructional") > 0) & (boosted > 0), boosted - 1).otherwise(boosted)
     planned = (F.col("scheduled") & ((F.col("h_routine_generic") > 0) | (F.col("h_scheduled_overhaul") > 0))).cast("int")
     two = one.withColumns({"h_defect_with_context": damped, "h_scheduled_routine": planned})
@@ -73,21 +77,30 @@ def rule() -> Column:
 DEFECT_RULES = ("strong_symptom", "corrective_strong", "score_defect", "safety_first")
 
 
-def classify(df: DataFrame, desc: str = "defect", action: str = "action", wo_type: str | None = None, compat: bool = False) -> DataFrame:
-    """df with is_technical, rule, defect_score, nondef_score and the hits of each family."""
+def classified(df: DataFrame, desc: str, action: str, wo_type: str | None, compat: bool = False) -> DataFrame:
+    """classify of each row of df by itself, for tables of distinct texts."""
     scored = with_scores(df, desc, action, wo_type, compat).withColumn("rule", rule())
     hits = F.struct(*[F.col(f"h_{k}").alias(k) for k in (*L.FAMILIES, "scheduled_routine")]).alias("hits")
     return scored.select(*df.columns, F.col("rule").isin(*DEFECT_RULES).alias("is_technical"), "rule", "defect_score", "nondef_score", hits)
 
 
+def classify(df: DataFrame, desc: str = "defect", action: str = "action", wo_type: str | None = None, compat: bool = False) -> DataFrame:
+    """df with is_technical, rule, defect_score, nondef_score and the hits of each family."""
+    return on_distinct(df, [c for c in (desc, action, wo_type) if c], lambda d: classified(d, desc, action, wo_type, compat))
+
+
 def matched(text: Column, keywords) -> Column:
-    """The keywords that occur in a text as whole words, in the list's order."""
-    checks = F.array(*[F.struct(F.lit(k).alias("k"), text.rlike(rf"(?iU)\b{k}\b").alias("hit")) for k in keywords])
+    """The keyword patterns that a text holds, in the list's order."""
+    checks = F.array(*[F.struct(F.lit(k).alias("k"), text.rlike(L.FLAGS + k).alias("hit")) for k in keywords])
     return F.transform(F.filter(checks, lambda x: x["hit"]), lambda x: x["k"])
 
 
 def classify_keywords(df: DataFrame, desc: str, action: str, wo_type: str, routine=L.ROUTINE_KEYWORDS, defect=L.DEFECT_KEYWORDS, inspection=L.INSPECTION_KEYWORDS) -> DataFrame:
     """df with is_technical_defect, confidence, reason and matched_patterns (at most three) by keyword lists."""
+    return on_distinct(df, [desc, action, wo_type], lambda d: _by_keywords(d, desc, action, wo_type, routine, defect, inspection))
+
+
+def _by_keywords(df: DataFrame, desc: str, action: str, wo_type: str, routine, defect, inspection) -> DataFrame:
     t = F.concat_ws(" ", F.coalesce(F.col(desc), F.lit("")), F.coalesce(F.col(action), F.lit("")))
     kind = F.upper(F.coalesce(F.col(wo_type), F.lit("")))
     sched = kind.contains("SCHEDULED") & ~kind.contains("UNSCHEDULED")

@@ -6,6 +6,7 @@ Null text counts as empty unless said otherwise. All patterns are literals, comp
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -65,7 +66,7 @@ def keeps(c: Column) -> Column:
 def clean(c: Column) -> Column:
     """Canonical references and messages, without lines of paperwork, in one line."""
     lines = F.split(system_messages(manual_references(c)), r"[\r\n]+")
-    kept = F.filter(lines, lambda x: (strip(x) != "") & (keeps(x) | ~x.rlike(L.any_of(L.CLEAN_META))))
+    kept = F.filter(lines, lambda x: (strip(x) != "") & (~x.rlike(L.bare(L.CLEAN_META)) | keeps(x)))
     return squeeze(F.array_join(F.transform(kept, strip), " "))
 
 
@@ -137,6 +138,11 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def nfkc_of(c: Column) -> Column:
+    """The column in NFKC. All rows pass through Python: for tables of distinct texts."""
+    return _nfkc(c)
+
+
 def nfkc(df, column: str):
     """df with the column in NFKC. Only rows with other than ASCII characters pass through Python."""
     ascii_only = F.col(column).isNull() | ~F.col(column).rlike(r"[^\x00-\x7F]")
@@ -144,6 +150,24 @@ def nfkc(df, column: str):
     return plain.unionByName(df.where(~ascii_only).withColumn(column, _nfkc(F.col(column))))
 
 
+def on_distinct(df, columns: list[str], make):
+    """df with the columns that make(distinct rows of `columns`) adds, joined back; missing values are equal.
+
+    Partial aggregates collapse repeated rows before the shuffle, and Spark broadcasts the distinct ones if they are few.
+    """
+    found = make(df.select(*columns).distinct())
+    added = [c for c in found.columns if c not in columns]
+    keys = [f"_key{i}" for i in range(len(columns))]
+    found = found.select(*[F.col(c).alias(k) for c, k in zip(columns, keys, strict=True)], *added)
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{k}")) for c, k in zip(columns, keys, strict=True)])
+    return df.alias("l").join(found.alias("r"), same, "left").select("l.*", *[F.col(f"r.{c}") for c in added])
+
+
+def let(value: Column, body) -> Column:
+    """Bind value once inside an expression: body gets it as a lambda variable, so it isn't evaluated again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tagged_record(title: Column, description: Column, ata2: Column, ata4: Column, ata6: Column, engine: Column) -> Column:
     """A record as one text: title, description, then tags of what is known."""
     tags = [F.when(_text(c) != "", F.concat(F.lit(f"[{k}:"), c, F.lit("]"))) for k, c in (("ATA2", ata2), ("ATA4", ata4), ("ATA6", ata6), ("ENG", engine))]

@@ -27,11 +27,15 @@ def titles(code_map: DataFrame) -> DataFrame:
 
 
 def build(memory: DataFrame, code_map: DataFrame, top_k: int = 15, sample_k: int = 3, max_docs: int = 2000, seed: int = 42, max_features: int = 50_000) -> Catalog:
-    """Keywords, samples and title of every class, and the TF-IDF of one document made of them for each class."""
-    docs = store.capped(memory, max_docs, seed).select("hash", "ata04", normalize_case(F.col("text")).alias("text")).where("text <> ''")
+    """Keywords, samples and title of every class, and the TF-IDF of one document made of them for each class.
+
+    What several later steps read is persisted, so that texts are cleaned and cut once; a lost executor's part is
+    made again from its lineage.
+    """
+    docs = store.capped(memory, max_docs, seed).select("hash", "ata04", normalize_case(F.col("text")).alias("text")).where("text <> ''").persist()
     n = docs.count()
-    counts = tfidf.term_counts(docs, "hash", "text")
-    weights = tfidf.weigh(counts, "hash", tfidf.fit(counts, n, min_df=2, max_features=max_features))
+    counts = tfidf.term_counts(docs, "hash", "text").persist()
+    weights = tfidf.weigh(counts, "hash", tfidf.fit(counts, n, min_df=2, max_features=max_features)).persist()
     words = tfidf.class_keywords(weights, docs, "hash", "ata04", top_k)
     texts = tfidf.class_samples(weights, docs, "hash", "ata04", "text", sample_k)
     listed = words.groupBy("ata04").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))
@@ -39,16 +43,16 @@ def build(memory: DataFrame, code_map: DataFrame, top_k: int = 15, sample_k: int
     none = F.array().cast("array<string>")
     entries = docs.select("ata04").distinct().join(listed, "ata04", "left").join(sampled, "ata04", "left").join(titles(code_map), "ata04", "left")
     entries = entries.select("ata04", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("keywords", none).alias("keywords"), F.coalesce("samples", none).alias("samples"))
-    return index(entries)
+    return index(entries.persist())
 
 
 def index(entries: DataFrame) -> Catalog:
     """Postings of entries: a class's document is its title, keywords and samples, or its code if it has none."""
     joined = F.concat_ws(" ", F.nullif(F.col("title"), F.lit("")), F.concat_ws(" ", "keywords"), F.concat_ws(" ", "samples"))
     docs = entries.select("ata04", F.when(F.trim(joined) == "", F.col("ata04")).otherwise(joined).alias("doc"))
-    counts = tfidf.term_counts(docs, "ata04", "doc")
-    vocabulary = tfidf.fit(counts, docs.count())
-    return Catalog(entries, tfidf.weigh(counts, "ata04", vocabulary), vocabulary)
+    counts = tfidf.term_counts(docs, "ata04", "doc").persist()
+    vocabulary = tfidf.fit(counts, docs.count()).persist()
+    return Catalog(entries, tfidf.weigh(counts, "ata04", vocabulary).persist(), vocabulary)
 
 
 def snippet() -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import citations, codes, defect, lexicons, text
+from ..functions import citations, codes, defect, text
 from ..operators import cache, catalog, decision, hierarchy, store, tfidf
 from .workorders import SQL, work_orders
 
@@ -39,28 +39,50 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def evidence(wo: DataFrame) -> DataFrame:
-    """wo with technical, e0, e1, e1_source, e1_valid: everything but the catalog."""
-    both = F.concat_ws("\n", "defect", "action")
-    judged = defect.classify(wo, "defect", "action", "wo_type").withColumnRenamed("is_technical", "technical")
-    cited = judged.withColumn("c", F.when(F.col("technical") | citations.hinted(F.col("defect"), F.col("action")), citations.best(both)))
-    return cited.select(*wo.columns, "technical", codes.ata04(F.col("entered")).alias("e0"), F.col("c.ata04").alias("e1"), F.col("c.manual").alias("e1_source")).withColumn(
-        "e1_valid", F.coalesce(decision.citation_valid(F.col("technical"), F.col("e1")), F.lit(False))
-    )
+def judged(d: DataFrame) -> DataFrame:
+    """technical, e1 and e1_source of distinct (defect, action, wo_type)."""
+    j = defect.classified(d, "defect", "action", "wo_type").withColumnRenamed("is_technical", "technical")
+    named = F.col("technical") | citations.hinted(F.col("defect"), F.col("action"))
+    j = j.withColumn("c", F.when(named, citations.best(F.concat_ws("\n", "defect", "action"))))
+    return j.select(*d.columns, "technical", F.col("c.ata04").alias("e1"), F.col("c.manual").alias("e1_source"))
+
+
+def matched(j: DataFrame, c: catalog.Catalog | None) -> DataFrame:
+    """j with e2 and e2_score: the best class for the texts of technical rows; other rows have none."""
+    if c is None:
+        return j.withColumns({"e2": F.lit(None).cast("string"), "e2_score": F.lit(None).cast("double")})
+    both = F.concat_ws("\x1f", F.coalesce("defect", F.lit("\0")), F.coalesce("action", F.lit("\0")))
+    keyed = j.withColumn("q", F.when(F.col("technical"), F.sha2(both, 256))).persist()
+    texts = keyed.where("q is not null").select("q", "defect", "action").dropDuplicates(["q"])
+    best = catalog.match(c, texts, "q", "defect", "action", 1).select("q", F.col("ata04").alias("e2"), F.col("score").alias("e2_score"))
+    return keyed.join(best, "q", "left").drop("q")
+
+
+def evidence(wo: DataFrame, c: catalog.Catalog | None = None) -> DataFrame:
+    """wo with technical, e0, e1, e1_source, e1_valid, e2, e2_score. Distinct texts are judged and matched once."""
+    e = text.on_distinct(wo, ["defect", "action", "wo_type"], lambda d: matched(judged(d), c))
+    valid = F.coalesce(decision.citation_valid(F.col("technical"), F.col("e1")), F.lit(False))
+    return e.select(*wo.columns, "technical", codes.ata04(F.col("entered")).alias("e0"), "e1", "e1_source", valid.alias("e1_valid"), "e2", "e2_score")
+
 
+def decided(wo: DataFrame, c: catalog.Catalog | None = None) -> DataFrame:
+    """Verdicts from the entered code, the citation and, if there is a catalog, its best class for technical rows."""
+    return decision.decide_table(evidence(wo, c))
 
-def decided(wo: DataFrame, matches: DataFrame | None = None) -> DataFrame:
-    e = evidence(wo)
-    if matches is None:
-        e = e.withColumns({"e2": F.lit(None).cast("string"), "e2_score": F.lit(None).cast("double")})
-    else:
-        e = e.join(matches.select("wo_id", F.col("ata04").alias("e2"), F.col("score").alias("e2_score")), "wo_id", "left")
-    return decision.decide_table(e)
+
+def cited_catalog(wo: DataFrame) -> catalog.Catalog:
+    """A catalog of the cited codes, from the distinct texts of the work orders that cite one."""
+    texts = citations.with_citations(wo.select("defect", "action").distinct(), "defect", "action")
+    cited = F.get(F.filter("citations", lambda x: x["ata04"].isNotNull()), F.lit(0))["ata04"]
+    rows = texts.select(text.pair_hash(F.col("defect"), F.col("action")).alias("hash"), cited.alias("ata04"), text.compose(F.col("defect"), F.col("action")).alias("text"))
+    none = wo.sparkSession.createDataFrame([], "ATA04 string, Title string")
+    return catalog.build(rows.where("ata04 is not null"), none)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the work orders."""
-    return decided(work_orders(spark, sf_dir)).groupBy("decision").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+    wo = work_orders(spark, sf_dir)
+    return decided(wo, cited_catalog(wo)).groupBy("decision").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
 
 
 # --- memory ---------------------------------------------------------------------------------------------------
@@ -105,10 +127,10 @@ def label_coverage(spark, sf_dir):
     return store.coverage(memory(spark, sf_dir), s.select(code.alias("ATA04")))
 
 
-@query(f", {_MEM} SELECT DISTINCT hash FROM mem WHERE seq % 2 = 1 AND hash NOT IN (SELECT hash FROM mem WHERE seq % 2 = 0 AND ata04 < '30') -- wo")
+@query(f", {_MEM}, k AS (SELECT sha1(text || '||' || ata04) AS hash, seq, ata04 FROM mem) SELECT DISTINCT hash FROM k WHERE seq % 2 = 1 AND hash NOT IN (SELECT hash FROM k WHERE seq % 2 = 0 AND ata04 < '60') -- wo")
 def incremental_anti(spark, sf_dir):
-    m = memory(spark, sf_dir)
-    return store.new_rows(m.where("seq % 2 = 0 and ata04 < '30'"), m.where("seq % 2 = 1")).select("hash")
+    m = memory(spark, sf_dir).withColumn("hash", text.pair_hash(F.col("text"), F.col("ata04")))
+    return store.new_rows(m.where("seq % 2 = 0 and ata04 < '60'"), m.where("seq % 2 = 1")).select("hash")
 
 
 @query(f", {_MEM} SELECT hash, min(g) AS gen FROM (SELECT hash, 0 AS g FROM mem WHERE ata04 < '40' UNION ALL SELECT hash, 1 FROM mem WHERE ata04 >= '40') GROUP BY hash -- wo")
@@ -118,7 +140,7 @@ def merged_memory(spark, sf_dir):
     return store.merged(a.select("text", "ata04", "hash", "gen"), b.select("text", "ata04", "hash", "gen")).select("hash", "gen")
 
 
-@query()
+@query(f", {_MEM} SELECT ata04, least(count(*), 5) AS docs FROM mem GROUP BY ata04 -- wo")
 def class_cap(spark, sf_dir):
     return store.capped(memory(spark, sf_dir), 5).groupBy("ata04").agg(F.count("*").alias("docs"))
 
@@ -154,8 +176,8 @@ def cache_stats_by_type(spark, sf_dir):
 
 @query(f"WITH {_CACHE} SELECT key, max(ts) AS ts FROM c GROUP BY key")
 def upsert_latest(spark, sf_dir):
-    c = cache_table(spark, sf_dir)
-    return store.keep_first(c, ["key"], F.desc("ts"), "event_id").select("key", "ts")
+    c = cache_table(spark, sf_dir).select("key", "value", "ts", "ttl", "model", "tokens")
+    return cache.put(c.where("1 = 0"), c).select("key", "ts")
 
 
 @query(f"WITH {_CACHE} SELECT k.key, max(c.ts) AS ts FROM (SELECT DISTINCT 'click-' || CAST(user_id AS VARCHAR) AS key FROM events) k LEFT JOIN (SELECT c.* FROM c, n WHERE NOT (ttl > 0 AND now - ts > ttl)) c ON c.key = k.key GROUP BY k.key")
@@ -250,7 +272,7 @@ def tech_keywords(spark, sf_dir):
 
 @query()
 def citations_exploded(spark, sf_dir):
-    c = work_orders(spark, sf_dir).select("wo_id", F.explode(citations.extract(F.concat_ws("\n", "defect", "action"))).alias("c"))
+    c = citations.with_citations(work_orders(spark, sf_dir), "defect", "action").select("wo_id", F.explode("citations").alias("c"))
     return c.select("wo_id", "c.priority", "c.normalized", "c.manual", "c.ata04", "c.source")
 
 
@@ -283,32 +305,121 @@ def priority_counts(spark, sf_dir):
 
 # --- defects --------------------------------------------------------------------------------------------------
 
-_COUNTED = ("corrective_strong", "corrective_weak", "no_finding", "cosmetic", "natural_wear", "scheduled_overhaul", "rigging_servicing", "warn_ctx", "strong_symptom")
-
-
-def _hits_oracle() -> str:
-    q = lambda s: s.replace("'", "''")
-    cols = ", ".join(f"len(regexp_extract_all(coalesce(defect, ''), '(?i){q('|'.join(lexicons.FAMILIES[k]['en']))}'))::INTEGER AS {k}" for k in _COUNTED)
-    return f"SELECT wo_id, {cols} FROM wo"
-
-
-@query(_hits_oracle())
+#: What the families look for, written out for DuckDB: patterns of ASCII characters. The one family that looks ahead
+#: isn't among them: its words are found with what lies between, and none of the tables holds what it looks out for.
+_HIT_SQL = {
+    "corrective_strong": (
+        r"\breplac(e|ed|ing|ement)\b|\brepair(ed|ing)?\b|\brectif(y|ied|ication)\b|\btroubleshoot(ing)?\b|\bmodif(y|ication|ied)\b|\bMEL\b|\bdeferr(al|ed)\b|"
+        r"\b(embod(y|ied)|incorporat(e|ed)|accomplish(ed)?|comply\s+with|implement(ed)?|appl(ied|y))\b\s+(SB|Service\s+Bulletin)\b|"
+        r"\b(embod(y|ied)|incorporat(e|ed)|accomplish(ed)?|comply\s+with|implement(ed)?|appl(ied|y))\b\s+(AD|Airworthiness\s+Directive)\b|"
+        r"\bC/O\s+REPLAC(ED|E|ING|EMENT)\b|\bthay\b"
+    ),
+    "corrective_weak": (
+        r"\bremove(d|al)?\b|\binstall(ed|ation)?\b"
+    ),
+    "no_finding": (
+        r"\bno\s*(abnormalit(y|ies)|defect|fault|finding|discrepanc(y|ies))\b|\bfound\s*(serviceable|normal)\b|\bwithin\s+limits?\b|\bcheck\s+satis(factory)?\b|"
+        r"\brecord(?:ed)?\s+(raised\s+)?(a\s+)?nrc(\s+or\s+wo)?\s*:\s*nil\b|\bno\s*crack\s*(?:found|detected)?\b"
+    ),
+    "cosmetic": (
+        r"\bpaint\s*(peel|chip|flake|touch[- ]?up|scratch|flake)\b|\b(name\s*plate|placard|decal|stencil|label|marking)\s*(miss(ing)?|faded|worn|illegible)\b|"
+        r"\bcosmetic\b|\bappearance\b"
+    ),
+    "natural_wear": (
+        r"\b(tyre|tire)\s*(wear|worn|tread|scuff)\b|\bbrake\s*wear\b|\berosion\b|\bweather(ing)?\b"
+    ),
+    "scheduled_overhaul": (
+        r"\b(send|sent)\s+for\s+(inspection|bench\s*test|overhaul|shop\s*visit|nrc)\b|\bremove(d)?\s+for\s+(inspection|overhaul|bench\s*test)\b"
+    ),
+    "rigging_servicing": (
+        r"\brig(ging)?\b|\bshims?\b|\bshim(ming)?\b|\badjust(ed|ment|ing)?\b|\bcalibrat(e|ion|ed|ing)\b|\bapply\s+(a\s+)?thin\s+film\s+of\s+the\s+grease\b|"
+        r"\bgrease\b|\blubricat(e|ion|ed)\b|\bclose[-\s]?up\b|\bopen\s+the\s+fan\s+cowls\b|\b(check\s+of\s+the\s+rigging|rigging\s+check)\b"
+    ),
+    "warn_ctx": (
+        r"\b(ECAM|EICAS|CAS)\s+(warning|caution)\b|\bwarning\s*(light|message|caption|indication)\b|\bcaution\s*(light|message|caption|indication)\b"
+    ),
+    "strong_symptom": (
+        r"\bfail(ure|ed)?\b|\bfault(s)?\b|\bmalfunction\b|\bleak(s|ing)?\b|\boverheat(ing)?\b|\bvibrat(e|ion|ing)\b|\bsmoke\b|\bintermittent\b|\bspurious\b|"
+        r"\bno\s*go\b|\binop(erative)?\b|\bdegrad(ed|ation)\b|\bshort( circuit)?\b|\btrip(ped)?\b|\bcrack(s|ed)?\b|\bECAM\b|\bEICAS\b|\bCAS\b|\bACARS\b|\bFWS\b|"
+        r"\brung\b"
+    ),
+    "routine_generic": (
+        r"\b(clean(ing)?|lubricat(e|ion|ed)|servic(e|ing)|disinfection|interior clean|cabin tidy)\b|\b(periodic|scheduled|routine)\b|"
+        r"\b(A-?check|C-?check|IL|4D|transit\s*check|daily\s*check|weekly\s*check|preflight\s*check|walkaround)\b|"
+        r"\b(general|detailed|special)\s+visual\s+inspection\b|\b(zonal|zone)\s+(visual\s+)?inspection\b|\b(boroscope|borescope)\s+inspection\b|"
+        r"\bvisual\s+inspection\b|\binspect(ion|ed|ing)?\b|\bperform\s+check(s)?\b|"
+        r"\b(checks?|ops(\.|eration(al)?)?\s*(test|check)|functional\s*check|leak\s*check)\b|"
+        r"\bref(er)?\s+amm\b.*\b(05|06|20[0-9]|200)\b[- ]?\d{2}([- ]?\d{2})?([- ]?\d{2,})?|\bamm\s+task\b|\bamm\b.*\b200[- ]?\d{3}\b|"
+        r"\b(checks\s+scheduled|make\s+sure|refer\s+to)\b|\btheo\s*AMM\b"
+    ),
+    "instructional": (
+        r"\b(look\s+for|check\s+for|inspect\s+for)\s+(crack(s)?|leak(s|age)?|damage|defect(s)?)\b|\bif\s+(any\s+)?crack\s+found\b|"
+        r"\bif\s+there\s+is\s+contamination\b"
+    ),
+}
+_CONTEXT_SQL = (
+    r"\b(defect(s)?|damage(d)?|crack(s)?|cracked)\b.*?\b(found|detected|observed|reported|noted|occurred|present)\b|"
+    r"\b(found|detected|observed|reported|noted|occurred|present)\b.*?\b(defect(s)?|damage(d)?|crack(s)?|cracked)\b"
+)
+
+
+def _hits_sql(column: str) -> str:
+    every = {**_HIT_SQL, "defect_with_context": _CONTEXT_SQL}
+    return ", ".join(f"len(regexp_extract_all({column}, '(?i){v}'))::INTEGER AS {k}" for k, v in every.items())
+
+
+@query("SELECT wo_id, " + _hits_sql("coalesce(defect, '')") + " FROM wo")
 def hit_counts(spark, sf_dir):
-    h = defect.hit_counts(F.coalesce("defect", F.lit("")), ("en",))
-    return work_orders(spark, sf_dir).select("wo_id", *[h[k].alias(k) for k in _COUNTED])
-
-
-@query()
+    h = defect.hit_counts(F.coalesce("defect", F.lit("")), ascii_only=True)
+    found = text.on_distinct(work_orders(spark, sf_dir).select("wo_id", "defect"), ["defect"], lambda d: d.select("defect", *[h[k].alias(k) for k in (*_HIT_SQL, "defect_with_context")]))
+    return found.drop("defect")
+
+
+#: The scoring rules over distinct texts. Lines of paperwork in the tables are those of two kinds.
+_RULES = f"""
+raw AS (SELECT DISTINCT defect, action, wo_type FROM wo),
+kept AS (SELECT *, trim(regexp_replace(array_to_string(list_filter(string_split(coalesce(defect, '') || chr(10) || coalesce(action, ''), chr(10)),
+  lambda x: NOT regexp_matches(x, '(?i)\\b\\d{{1,2}}[:.]\\d{{2}}\\b|\\bBY\\s+[A-Z]{{3}}\\d{{5}}\\b') OR regexp_matches(x, '(?i){_HIT_SQL["strong_symptom"]}|{_HIT_SQL["warn_ctx"]}')), ' '), '\\s+', ' ', 'g')) AS t FROM raw),
+h AS (SELECT *, {_hits_sql("t")}, regexp_matches(coalesce(wo_type, ''), '(?i)\\bSCHEDULED\\b|\\bROUTINE\\b|\\bCHECK\\b') AS sched FROM kept),
+c AS (SELECT *, CASE WHEN instructional > 0 AND defect_with_context > 0 THEN defect_with_context - 1 ELSE defect_with_context END AS ctx,
+  CASE WHEN sched AND (routine_generic > 0 OR scheduled_overhaul > 0) THEN 1 ELSE 0 END AS planned FROM h),
+s AS (SELECT *, strong_symptom * 4.0 + warn_ctx * 3.0 + ctx * 3.2 + corrective_strong * 3.8 + corrective_weak * 0.8 AS defect_score,
+  planned * 3.7 + routine_generic * 1.9 + rigging_servicing * 2.4 + no_finding * 2.8 + cosmetic * 3.0 + natural_wear * 2.5 + scheduled_overhaul * 2.5 AS nondef_score,
+  sched OR routine_generic > 0 OR rigging_servicing > 0 AS upkeep FROM c),
+r AS (SELECT *, CASE WHEN t = '' THEN 'empty'
+  WHEN upkeep AND no_finding > 0 AND strong_symptom = 0 AND corrective_strong = 0 THEN 'scheduled_no_finding'
+  WHEN strong_symptom > 0 AND no_finding > 0 AND upkeep THEN 'symptom_but_no_finding'
+  WHEN strong_symptom > 0 THEN 'strong_symptom' WHEN corrective_strong > 0 THEN 'corrective_strong'
+  WHEN sched AND (routine_generic > 0 OR scheduled_overhaul > 0 OR rigging_servicing > 0) AND ctx = 0 THEN 'scheduled_routine'
+  WHEN nondef_score - defect_score >= 1.0 THEN 'score_nondefect' WHEN defect_score - nondef_score >= 1.0 THEN 'score_defect'
+  WHEN sched AND no_finding > 0 AND (routine_generic > 0 OR rigging_servicing > 0) THEN 'tie_no_finding' ELSE 'safety_first' END AS rule FROM s),
+j AS (SELECT wo_id, round(defect_score, 4)::DOUBLE AS defect_score, round(nondef_score, 4)::DOUBLE AS nondef_score,
+  rule IN ('strong_symptom', 'corrective_strong', 'score_defect', 'safety_first') AS is_technical, rule
+  FROM wo JOIN r ON wo.defect IS NOT DISTINCT FROM r.defect AND wo.action IS NOT DISTINCT FROM r.action AND wo.wo_type = r.wo_type)"""
+
+
+@query(f", {_RULES} SELECT * FROM j -- wo")
 def defect_scores(spark, sf_dir):
-    return defect.classify(work_orders(spark, sf_dir), "defect", "action", "wo_type").select("wo_id", "defect_score", "nondef_score", "is_technical", "rule")
+    c = defect.classify(work_orders(spark, sf_dir), "defect", "action", "wo_type")
+    return c.select("wo_id", F.round("defect_score", 4).alias("defect_score"), F.round("nondef_score", 4).alias("nondef_score"), "is_technical", "rule")
 
 
-@query()
+@query(f", {_RULES} SELECT rule, is_technical, count(*) AS n FROM j GROUP BY rule, is_technical -- wo")
 def rule_histogram(spark, sf_dir):
     return defect_scores(spark, sf_dir).groupBy("rule", "is_technical").agg(F.count("*").alias("n"))
 
 
-@query()
+#: The keyword patterns that can occur in the tables' texts, written out.
+_ROUTINE_SQL = r"\broutine\b|\bpreventive\b|\bscheduled\s+(inspection|maintenance|service|check)\b|\b[acd]-check\b|\boverhaul\b|\b(life|time|cycle)\s+limit\b|\bsb\s+\d+|\bad\s+\d+|\b(normal|expected)\s+wear\b|\bwithin\s+(limits|tolerance)\b|\bserviceable\b|\bty(r|re)\s+(wear|worn|tread)\b|\bti(r|re)\s+(wear|worn|tread)\b|\bbrake\s+(wear|worn|pad)\b|\bpaint\s+(chip|scratch|peel)\b|\blubrication\b|\bgrease\b"
+_DEFECT_SQL = r"\bfail(ed|ure)?\b|\bfault(y)?\b|\bdefect(ive)?\b|\bmalfunction\b|\binop(erative)?\b|\bu/s\b|\bdamage(d)?\b|\bcrack(ed|ing)?\b|\bbroken\b|\bleak(age|ing)?\b|\babnormal\b|\bexcessive\b|\becam\s+(caution|warning|fault)\b|\bwarning\b|\balert\b|\bcaution\b|\bmissing\b|\bloose\b|\boverheating\b|\bintermittent\b|\bnoise\b|\bvibration\b|\bsmoke\b"
+_FOUND_SQL = r"\b(found|detected|discovered|identified|observed|noted|rectify|cmr)\b"
+
+
+@query(f""", k AS (SELECT coalesce(defect, '') || ' ' || coalesce(action, '') AS t, contains(upper(wo_type), 'SCHEDULED') AND NOT contains(upper(wo_type), 'UNSCHEDULED') AS s FROM wo),
+ m AS (SELECT s, regexp_matches(t, '(?i){_ROUTINE_SQL}') AS r, regexp_matches(t, '(?i){_DEFECT_SQL}') AS d, regexp_matches(t, '(?i){_FOUND_SQL}') AS f FROM k),
+ v AS (SELECT CASE WHEN s AND r THEN 'scheduled routine' WHEN s AND f AND d THEN 'scheduled with finding' WHEN s AND d THEN 'scheduled with defect' WHEN s THEN 'scheduled' WHEN r THEN 'routine' WHEN d THEN 'defect' ELSE 'no keyword' END AS reason FROM m)
+ SELECT reason, reason IN ('scheduled with finding', 'scheduled with defect', 'defect') AS is_technical_defect,
+  (CASE reason WHEN 'scheduled routine' THEN 0.9 WHEN 'scheduled with finding' THEN 0.95 WHEN 'scheduled with defect' THEN 0.7 WHEN 'scheduled' THEN 0.8 WHEN 'routine' THEN 0.9 WHEN 'defect' THEN 0.9 ELSE 0.6 END)::DOUBLE AS confidence, count(*) AS n FROM v GROUP BY reason -- wo""")
 def sched_ladder(spark, sf_dir):
     return defect.classify_keywords(work_orders(spark, sf_dir), "defect", "action", "wo_type").groupBy("reason", "is_technical_defect", "confidence").agg(F.count("*").alias("n"))
 
@@ -432,7 +543,8 @@ def decision_stats(spark, sf_dir):
 
 @query()
 def work_order_decisions(spark, sf_dir):
-    return decided(work_orders(spark, sf_dir)).select("wo_id", "technical", "e0", "e1", "e1_source", "decision", F.round("confidence", 4).alias("confidence"), "recommended")
+    wo = work_orders(spark, sf_dir)
+    return decided(wo, cited_catalog(wo)).select("wo_id", "technical", "e0", "e1", "e1_source", "e2", "decision", F.round("confidence", 4).alias("confidence"), "recommended")
 
 
 @query()

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tarmac.functions import citations, codes, defect, text
+from tarmac.operators import detect
 
 
 def values(spark, cases, column):
@@ -65,3 +66,37 @@ def test_defects(spark):
     assert defect.classify(df, "d", "a", "t", compat=True).where("i = 3").head()["is_technical"] is True
     k = {r["i"]: (r["is_technical_defect"], r["confidence"]) for r in defect.classify_keywords(df, "d", "a", "t").collect()}
     assert k[0] == (True, 0.9) and k[1] == (False, 0.9) and k[5] == (False, 0.6)
+
+
+def test_whole_keyword_patterns(spark):
+    """Patterns keep their own word ends: SB 12A counts as a bulletin, TRANSACTION isn't an action column."""
+    rows = [(0, "SB 12A EMBODIED", "", "UNSCHEDULED"), (1, "AD 2020X", "", "UNSCHEDULED"), (2, "SERVICEABLES", "", "UNSCHEDULED")]
+    got = {r["i"]: r["reason"] for r in defect.classify_keywords(spark.createDataFrame(rows, "i int, d string, a string, t string"), "d", "a", "t").collect()}
+    assert got == {0: "routine", 1: "routine", 2: "no keyword"}
+    assert detect.find_column(["TRANSACTION", "W/O Action"], detect.COLUMNS["action"]) == "W/O Action"
+    assert detect.find_column(["DATA 04"], detect.COLUMNS["entered"]) is None
+
+
+def test_decomposed_text_is_normalized(spark):
+    import unicodedata
+
+    rows = [(0, unicodedata.normalize("NFD", "phát hiện rò rỉ"), None, None), (1, "phát hiện rò rỉ", None, None)]
+    got = {r["i"]: r["rule"] for r in defect.classify(spark.createDataFrame(rows, "i int, d string, a string, t string"), "d", "a", "t").collect()}
+    assert got == {0: "strong_symptom", 1: "strong_symptom"}
+
+
+def test_bare_patterns_answer_alike(spark):
+    """A test without what stands free around the words gives the same answer as the whole pattern."""
+    from tarmac.functions import lexicons
+
+    cases = ["NOTE: SEE", "x refer note 3", "BY VAE03251 AND MORE", "AT 09:24", "1 WORKSTEP9 A", "FINDING (NRC) X", "plain", "", "see notes", "S.O-A321-1 z"]
+    for patterns in (lexicons.META_LINES, lexicons.CLEAN_META):
+        whole = values(spark, cases, lambda c, p=patterns: c.rlike(lexicons.any_of(p)))
+        assert values(spark, cases, lambda c, p=patterns: c.rlike(lexicons.bare(p))) == whole
+
+
+def test_on_distinct(spark):
+    """Repeated and missing values get the same result, each distinct row is made once."""
+    df = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, None, "b"), (4, "", "b")], "i int, x string, y string")
+    out = text.on_distinct(df, ["x", "y"], lambda d: d.withColumn("n", F.concat_ws("/", F.coalesce("x", F.lit("-")), F.coalesce("y", F.lit("-")))))
+    assert out.columns == ["i", "x", "y", "n"] and {r["i"]: r["n"] for r in out.collect()} == {1: "a/-", 2: "a/-", 3: "-/b", 4: "/b"}
