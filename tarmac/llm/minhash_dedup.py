@@ -13,7 +13,7 @@
    Components by large-star and small-star.
 
 Nothing is capped: what isn't settled goes on to the next round. A link can be missed only if it shares no band or
-its sketches agree six standard deviations too little. Hot groups: equal sets collapse before anything is grouped,
+its sketches agree five standard deviations too little. Hot groups: equal sets collapse before anything is grouped,
 buckets are counted with partial aggregates and never stand in one task as a whole, and the confirmations around a
 hub are dealt in groups of HUB. What still grows with the square of a bucket is the comparison of sketches, if
 its members aren't linked.
@@ -40,13 +40,13 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
 #: A link's sketches agree at most so many standard deviations less than it is similar.
-DEVIATIONS = 6
+DEVIATIONS = 5
 #: Members of a bucket that one task holds against each other, or against as many.
 CELL_BLOCK = 1024
 #: Classes confirmed against the same one in one group.
 HUB = 256
-#: Growth from round to round of the pairs confirmed for each two components of a bucket.
-WIDEN = 8
+#: Partners that each member of a bucket is confirmed against in the first round, and their growth from round to round.
+PARTNERS, WIDEN = 4, 8
 _U = np.uint64
 
 
@@ -167,10 +167,9 @@ def star_pairs(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
 
 def open_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame, ws: Workspace, percent: int, limit: int) -> DataFrame:
-    """u, v, more: pairs of a bucket's members of different components that may be links, as a written table.
+    """key, u, v, more: pairs of a bucket's members of different components that may be links, as a written table.
 
-    For each two components of a bucket, or of a pair of its chunks, the `limit` most similar pairs; more tells
-    that there are others.
+    For each member, in its bucket or pair of chunks, its `limit` most similar partners; more tells that there are others.
     """
     least = least_agreement(percent)
     tagged = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -180,38 +179,32 @@ def open_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame, ws: Wor
     rows = tagged.join(mixed, "key").select("key", "node", "label", k.alias("k"), F.pmod(F.xxhash64("node"), k).cast("int").alias("b"))
     rows = rows.join(classes.select("node", "n", "sketch").hint("merge"), "node")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")).select("key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "node", "label", "n", "sketch")
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("more", pa.bool_())])
 
     def run(t: pa.Table) -> pa.Table:
+        key = t.column("key")[0].as_py()
         node, label, n, b = (t.column(c).to_numpy() for c in ("node", "label", "n", "b"))
         order = np.lexsort((node, label))
         node, label, n, b = node[order], label[order], n[order], b[order]
         s = _sketches(t.column("sketch"))[order]
         two = t.column("lo")[0] != t.column("hi")[0]
-        found = []
-        for i in range(1, len(node)):
-            first = np.searchsorted(label, label[i])  # earlier labels only
-            agree = (s[:first] == s[i]).sum(1)
-            ok = (agree >= least) & (100 * np.minimum(n[:first], n[i]) >= percent * np.maximum(n[:first], n[i]))
+        found, more = [], False
+        for i in range(len(node)):
+            ok = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             if two:
-                ok &= b[:first] != b[i]
+                ok &= b != b[i]
             at = np.flatnonzero(ok)
-            if len(at):
-                found.append(np.stack([np.full(len(at), i), at, agree[at]], 1))
-        if not found:
-            return schema.empty_table()
-        i, j, agree = np.concatenate(found).T
-        order = np.lexsort((-agree, label[j], label[i]))
-        i, j = i[order], j[order]
-        new = np.r_[True, (label[i][1:] != label[i][:-1]) | (label[j][1:] != label[j][:-1])]
-        starts = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        keep = np.arange(len(i)) - starts[group] < limit
-        more = (np.diff(np.r_[starts, len(i)]) > limit)[group]
-        u, v = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
-        return pa.Table.from_arrays([pa.array(u[keep]), pa.array(v[keep]), pa.array(more[keep])], schema=schema)
-
-    out = ws.write(rows.groupBy("key", "lo", "hi").applyInArrow(run, "u long, v long, more boolean"), "open")
+            agree = np.count_nonzero(s[at] == s[i], axis=1)
+            at, agree = at[agree >= least], agree[agree >= least]
+            if len(at) > limit:
+                more = True
+                at = at[np.argsort(-agree, kind="stable")[:limit]]
+            found.append(np.stack([np.full(len(at), i), at], 1))
+        i, j = np.concatenate(found).T
+        pairs = np.unique(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])], 1), axis=0)
+        u, v = pairs[:, 0].copy(), pairs[:, 1].copy()
+        return pa.table({"key": pa.array([key] * len(u), pa.int64()), "u": u, "v": v, "more": np.full(len(u), more)})
+
+    out = ws.write(rows.groupBy("key", "lo", "hi").applyInArrow(run, "key long, u long, v long, more boolean"), "open")
     ws.drop(tagged, mixed)
     return out
 
@@ -283,22 +276,21 @@ def class_groups(docs: DataFrame, classes: DataFrame, ws: Workspace, percent: in
     pairs = ws.write(star_pairs(shared, classes, percent), "pairs")
     tested = pairs.select("u", "v")
     labels = joined(None, ws.write(confirmed(pairs, texts, percent), "links"))
-    limit = 1
+    open_, limit = shared, PARTNERS
     while True:
-        found = open_pairs(shared, classes, labels, ws, percent, limit)
-        more = not found.where("more").isEmpty()
+        found = open_pairs(open_, classes, labels, ws, percent, limit)
         pairs = ws.write(found.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
-        ws.drop(found)
-        if pairs.isEmpty():
-            if not more:
-                ws.drop(shared, texts)
-                return labels
-        else:
+        if not pairs.isEmpty():
             tested = ws.write(tested.unionByName(pairs), "tested")
             links = ws.write(confirmed(pairs, texts, percent), "links")
             if not links.isEmpty():
                 labels = joined(labels, links)
-        limit *= WIDEN
+        # All that may be links in the other buckets has been tested: components only grow, so that nothing new comes up.
+        rest = ws.write(open_.join(found.where("more").select("key").distinct(), "key", "left_semi"), "rest")
+        ws.drop(found)
+        if rest.isEmpty():
+            return labels
+        open_, limit = rest, limit * WIDEN
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
