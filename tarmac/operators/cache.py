@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep_first, upsert_latest
+from .store import keep_first, locked, read_or_empty, replace, upsert_latest
 
 SCHEMA = "key string, value string, ts bigint, ttl bigint, model string, tokens int"
 
@@ -50,3 +50,26 @@ def by_model(cache: DataFrame) -> DataFrame:
 def migrated(old: DataFrame) -> DataFrame:
     """Rows of an older cache whose value is JSON, the latest of each key."""
     return keep_first(old.where(F.expr("try_parse_json(value) IS NOT NULL")), ["key"], F.desc("ts"))
+
+
+def cleanup(spark, path: str, now: int) -> int:
+    """Rewrite the cache at path without its expired entries; returns how many went."""
+    return _rewrite(spark, path, lambda c: live(c, now))
+
+
+def clear(spark, path: str) -> int:
+    """Leave an empty cache at path; returns how many entries went."""
+    return _rewrite(spark, path, lambda c: c.where("1 = 0"))
+
+
+def vacuum(spark, path: str, files: int = 1) -> int:
+    """Rewrite the cache at path with the latest entry of each key, in few files; returns how many rows went."""
+    return _rewrite(spark, path, lambda c: keep_first(c, ["key"], F.desc("ts"), "value").coalesce(files))
+
+
+def _rewrite(spark, path: str, make) -> int:
+    with locked(spark, path):
+        old = read_or_empty(spark, path, SCHEMA)
+        before = old.count()
+        replace(make(old), path)
+    return before - read_or_empty(spark, path, SCHEMA).count()

@@ -21,11 +21,6 @@ class Catalog:
     vocabulary: DataFrame
 
 
-def titles(code_map: DataFrame) -> DataFrame:
-    """ata04, title: one title of each code, the last by text if there are several."""
-    return code_map.groupBy(F.col("ATA04").alias("ata04")).agg(F.max("Title").alias("title"))
-
-
 def build(memory: DataFrame, code_map: DataFrame, top_k: int = 15, sample_k: int = 3, max_docs: int = 2000, seed: int = 42, max_features: int = 50_000) -> Catalog:
     """Keywords, samples and title of every class, and the TF-IDF of one document made of them for each class.
 
@@ -41,7 +36,7 @@ def build(memory: DataFrame, code_map: DataFrame, top_k: int = 15, sample_k: int
     listed = words.groupBy("ata04").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))
     sampled = texts.groupBy("ata04").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sample"))), lambda x: x["sample"]).alias("samples"))
     none = F.array().cast("array<string>")
-    entries = docs.select("ata04").distinct().join(listed, "ata04", "left").join(sampled, "ata04", "left").join(titles(code_map), "ata04", "left")
+    entries = docs.select("ata04").distinct().join(listed, "ata04", "left").join(sampled, "ata04", "left").join(store.last_titles(code_map), "ata04", "left")
     entries = entries.select("ata04", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("keywords", none).alias("keywords"), F.coalesce("samples", none).alias("samples"))
     return index(entries.persist())
 

@@ -104,12 +104,11 @@ def band(confidence: Column) -> Column:
 def decision_stats(df: DataFrame) -> DataFrame:
     """kind, name, n, percent, avg_confidence by decision, band, source and overall, in one pass."""
     named = df.select("decision", band(F.col("confidence")).alias("band"), F.coalesce("e1_source", F.lit("none")).alias("source"), "confidence")
-    named.createOrReplaceTempView("_decisions")
-    out = df.sparkSession.sql(
-        """SELECT CASE WHEN grouping(decision) = 0 THEN 'decision' WHEN grouping(band) = 0 THEN 'band' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS kind,
-                  coalesce(decision, band, source, 'all') AS name, count(*) AS n, avg(confidence) AS avg_confidence
-           FROM _decisions GROUP BY GROUPING SETS ((decision), (band), (source), ())"""
-    )
+    one = lambda c: F.grouping(c) == 0
+    kind = F.when(one("decision"), "decision").when(one("band"), "band").when(one("source"), "source").otherwise("all")
+    sets = [[F.col("decision")], [F.col("band")], [F.col("source")], []]
+    out = named.groupingSets(sets, "decision", "band", "source").agg(kind.alias("kind"), F.count("*").alias("n"), F.avg("confidence").alias("avg_confidence"))
+    out = out.withColumn("name", F.coalesce("decision", "band", "source", F.lit("all")))
     total = F.sum(F.when(F.col("kind") == "all", F.col("n"))).over(Window.partitionBy(F.lit(1)))
     percent = F.when(total > 0, F.format_string("%.1f%%", 100.0 * F.col("n") / total)).otherwise("0.0%")
     return out.select("kind", "name", "n", percent.alias("percent"), F.round("avg_confidence", 6).alias("avg_confidence"))

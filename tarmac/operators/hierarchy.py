@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.text import clean_map_text
+from .store import last_titles
 
 # Engine tags of descriptions, and engines that chapters from 70 on are repeated for.
 ENGINE_TAG = r"^\((?:IAE|PW11|PW|CFM|LEAP)[^)]*\)$"
@@ -103,7 +104,7 @@ def joined_by_class(docs: DataFrame, key: str, text: str, order: str) -> DataFra
 def enriched_items(docs: DataFrame, names: DataFrame, cut: int = 1200) -> DataFrame:
     """ata4, name, engine_type, keywords, sample of docs(ata4, text): the enriched catalog's items."""
     words = top_tokens(docs, "ata4", "text").groupBy("ata4").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("keywords"))
-    named = docs.join(words, "ata4", "left").join(names.groupBy(F.col("ATA04").alias("ata4")).agg(F.max("Title").alias("name")), "ata4", "left")
+    named = docs.join(words, "ata4", "left").join(last_titles(names).toDF("ata4", "name"), "ata4", "left")
     return engine_fanout(named.select("ata4", "name", "keywords", F.substring("text", 1, cut).alias("sample"))).select("ata4", "name", "engine_type", "keywords", "sample")
 
 

@@ -34,12 +34,12 @@ def backup(spark: SparkSession, tables: dict[str, str], target: str) -> list[str
 
 
 def rollback(spark: SparkSession, source: str) -> list[str]:
-    """Put the tables of a backup back where they were."""
+    """Put the tables of a backup back where they were; a table goes only when its copy is whole."""
     tables = json.loads(spark.read.text(f"{source}/manifest", wholetext=True).head()["value"])["tables"]
     for name, path in tables.items():
-        p, fs = _fs(spark, path)
-        fs.delete(p, True)
-        copy_tree(spark, f"{source}/{name}", path)
+        if not copy_tree(spark, f"{source}/{name}", f"{path}.new-back"):
+            raise OSError(f"backup of {name} couldn't be copied")
+        store.swap(spark, f"{path}.new-back", path)
     return sorted(tables)
 
 

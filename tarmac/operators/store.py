@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,8 +36,18 @@ def training_rows(df: DataFrame, defect: str, action: str, final: str | None, en
 
 
 def new_rows(memory: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Rows of fresh whose hash the memory doesn't have, one for each hash (the smallest code on ties)."""
-    return keep_first(fresh, ["hash"], "ata04", "text").join(memory.select("hash"), "hash", "left_anti").select("text", "ata04", "hash")
+    """Rows of fresh whose hash the memory doesn't have, one for each hash: the first in fresh's order."""
+    return keep_first(in_order(fresh), ["hash"], "_seq").join(memory.select("hash"), "hash", "left_anti").select("text", "ata04", "hash")
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """df with `_seq`, which follows the order of its partitions and rows."""
+    return df.withColumn("_seq", F.monotonically_increasing_id())
+
+
+def last_titles(code_map: DataFrame) -> DataFrame:
+    """ata04, title: the last row's title of each code."""
+    return in_order(code_map).groupBy(F.col("ATA04").alias("ata04")).agg(F.max_by("Title", "_seq").alias("title"))
 
 
 def merged(memory: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -76,49 +88,97 @@ def capped(memory: DataFrame, most: int = 2000, seed: int = 42) -> DataFrame:
     return memory.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def locked(spark: SparkSession, path: str, timeout: float = 30.0):
+    """One writer at a time: holds a lock file beside the table, which only one of several writers can create.
+
+    TimeoutError if it isn't free in time; a lock that a lost writer left has to be deleted by hand.
+    """
+    lock, fs = _path(spark, f"{path}.lock")
+    began = time.monotonic()
+    while not _created(fs, lock):
+        if time.monotonic() - began > timeout:
+            raise TimeoutError(f"{path}.lock is held by another writer")
+        time.sleep(0.1)
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
+def _created(fs, lock) -> bool:
+    try:
+        return fs.createNewFile(lock)
+    except Exception:  # some file systems raise for a file that is there
+        return False
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish a replacement that was broken off between its two renames: the whole new table goes to the path."""
+    p, fs = _path(spark, path)
+    if fs.exists(p):
+        return
+    for kind in ("new", "old"):
+        for s in fs.globStatus(_path(spark, f"{path}.{kind}-*")[0]) or []:
+            if fs.exists(_path(spark, f"{s.getPath().toString()}/_SUCCESS")[0]) and fs.rename(s.getPath(), p):
+                return
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at path, or an empty one if there is none yet."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    recover(spark, path)
+    p, fs = _path(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(p) else spark.createDataFrame([], schema)
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write beside the table and rename, so that readers see the old or the new one; df may read from path."""
-    spark = df.sparkSession
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    """Write beside the table and rename; df may read from path. read_or_empty finishes what a crash broke off."""
+    new = f"{path}.new-{uuid.uuid4().hex}"
     df.write.parquet(new)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jvm_path(path)):
-        fs.rename(jvm_path(path), jvm_path(old))
-    fs.rename(jvm_path(new), jvm_path(path))
-    fs.delete(jvm_path(old), True)
+    swap(df.sparkSession, new, path)
+
+
+def swap(spark: SparkSession, new: str, path: str) -> None:
+    """Put the folder `new` in the place of the one at path, which goes last."""
+    (a, fs), (p, _), (old, _) = _path(spark, new), _path(spark, path), _path(spark, f"{path}.old-{uuid.uuid4().hex}")
+    if fs.exists(p):
+        fs.rename(p, old)
+    if not fs.rename(a, p):
+        raise OSError(f"{new} couldn't be renamed to {path}")
+    fs.delete(old, True)
 
 
 def append_training(spark: SparkSession, fresh: DataFrame, path: str, source: str, meta_path: str | None = None) -> int:
     """Append what is new to the memory at path, and a line to the ingest log; old files aren't rewritten."""
-    rows = new_rows(read_or_empty(spark, path, MEMORY), fresh).persist()
-    n = rows.count()
-    if n:
-        rows.write.mode("append").parquet(path)
+    with locked(spark, path):
+        rows = new_rows(read_or_empty(spark, path, MEMORY), fresh).persist()
+        n = rows.count()
+        if n:
+            rows.write.mode("append").parquet(path)
+        rows.unpersist()
     if meta_path:
         spark.range(1).select(F.lit(source).alias("source_file"), F.lit(n).cast("int").alias("rows_ingested"), F.current_timestamp().alias("ingested_at")).write.mode("append").parquet(meta_path)
-    rows.unpersist()
     return n
 
 
 def append_map(spark: SparkSession, fresh: DataFrame, path: str) -> None:
-    """Merge titles into the map: the newest title of a code stands."""
-    replace(upsert_latest(read_or_empty(spark, path, MAP), fresh, ["ATA04"], "Title"), path)
+    """Merge titles into the map: the newest title of a code stands, of several new ones the last."""
+    with locked(spark, path):
+        both = upsert_latest(in_order(read_or_empty(spark, path, MAP)), in_order(fresh), ["ATA04"], "_seq")
+        replace(both.select("ATA04", "Title"), path)
 
 
 def compact(spark: SparkSession, path: str) -> int:
     """Rewrite the memory with one row of each hash; returns how many went."""
-    old = spark.read.schema(MEMORY).parquet(path)
-    before = old.count()
-    replace(keep_first(old, ["hash"], "ata04", "text"), path)
+    with locked(spark, path):
+        old = read_or_empty(spark, path, MEMORY)
+        before = old.count()
+        replace(keep_first(old, ["hash"], "ata04", "text"), path)
     return before - spark.read.parquet(path).count()
 
 

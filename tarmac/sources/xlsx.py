@@ -81,24 +81,31 @@ def headers(row: list[str | None]) -> list[str]:
 
 
 def read(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """Rows of a sheet (the first if none is named) below its header row, all strings. The header is that of the first file."""
+    """Rows of a sheet (the first if none is named) below its header row, all strings.
+
+    Every file is read by its own header; the columns are those of all headers, in the order of the files' paths.
+    """
     files = spark.read.format("binaryFile").load(path)
 
     def head(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"names": [headers(pick(sheets(x), sheet)[0]) if pick(sheets(x), sheet) else [] for x in b.column("content").to_pylist()]}, schema=pa.schema([("names", pa.list_(pa.string()))]))
+            picked = [pick(sheets(x), sheet) for x in b.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([headers(p[0]) if p else [] for p in picked], pa.list_(pa.string()))], ["path", "names"])
 
-    first = files.orderBy("path").limit(1).select("content").mapInArrow(head, "names array<string>").head()
-    names = list(first["names"]) if first else []
+    kinds = files.select("path", "content").mapInArrow(head, "path string, names array<string>").groupBy("names").agg(F.min("path").alias("first"))
+    # One row for each different header.
+    names = list(dict.fromkeys(n for r in kinds.orderBy("first").collect() for n in r["names"]))
     if not names:
         return spark.createDataFrame([], "value string")
 
     def body(batches):
         for b in batches:
             for x in b.column("content").to_pylist():
-                rows = [(r + [None] * len(names))[: len(names)] for r in pick(sheets(x), sheet)[1:]]
-                rows = [r for r in rows if any(v is not None for v in r)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))], names)
+                rows = pick(sheets(x), sheet)
+                at = {n: i for i, n in enumerate(headers(rows[0]))} if rows else {}
+                rows = [r for r in rows[1:] if any(v is not None for v in r)]
+                columns = [[r[at[n]] if n in at and at[n] < len(r) else None for r in rows] for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names)
 
     return files.select("content").mapInArrow(body, ", ".join(f"`{n.replace('`', '``')}` string" for n in names))
 

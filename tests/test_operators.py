@@ -144,3 +144,45 @@ def test_enrich(spark, tmp_path):
     got = items.collect()
     assert sorted(r["engine_type"] for r in got) == ["IAE", "PW11"] and {r["name"] for r in got} == {"OIL - PUMP"} and "leak" in got[0]["keywords"]
     assert '"count":2' in hierarchy.enriched_json(items).head()["value"]
+
+
+def test_swap_lock_and_order(spark, tmp_path):
+    """A crash between two renames loses no table; a lock keeps a second writer out; the last title stands."""
+    import os
+
+    import pytest
+
+    path = str(tmp_path / "map")
+    store.append_map(spark, spark.createDataFrame([("21-26", "Z"), ("21-26", "B")], store.MAP), path)
+    assert [r["Title"] for r in spark.read.parquet(path).collect()] == ["B"]
+    os.rename(path, f"{path}.new-x")
+    assert store.read_or_empty(spark, path, store.MAP).count() == 1 and os.path.isdir(path)
+    with store.locked(spark, path):
+        with pytest.raises(TimeoutError), store.locked(spark, path, 0.3):
+            pass
+    assert not os.path.exists(f"{path}.lock")
+    titles = store.last_titles(spark.createDataFrame([("21-26", "Z"), ("21-26", "A"), ("32-41", "B")], store.MAP).coalesce(1))
+    assert {tuple(r) for r in titles.collect()} == {("21-26", "A"), ("32-41", "B")}
+
+
+def test_cache_upkeep(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = [("a", "1", 100, 10, "m", 1), ("b", "2", 100, 0, "m", 2), ("b", "3", 120, 0, "m", 2)]
+    spark.createDataFrame(rows, cache.SCHEMA).write.parquet(path)
+    assert cache.cleanup(spark, path, 200) == 1 and cache.vacuum(spark, path) == 1
+    assert [r["value"] for r in spark.read.parquet(path).collect()] == ["3"]
+    assert cache.clear(spark, path) == 1 and spark.read.parquet(path).count() == 0
+
+
+def test_workbooks_by_their_own_headers(spark, tmp_path):
+    one, two = spark.createDataFrame([("x", "y")], "a string, b string"), spark.createDataFrame([("p", "q", "r")], "b string, a string, c string")
+    xlsx.write(one, str(tmp_path / "1.xlsx"))
+    xlsx.write(two, str(tmp_path / "2.xlsx"))
+    got = xlsx.read(spark, str(tmp_path / "*.xlsx"))
+    assert got.columns == ["a", "b", "c"] and {tuple(r) for r in got.collect()} == {("x", "y", None), ("q", "p", "r")}
+
+
+def test_dates_of_workbooks(spark):
+    cases = ["45809", "45809.5", "2025-06-01", "x", None, "0"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, d string").select("i", detect.read_date(F.col("d")).cast("string").alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in rows] == ["2025-06-01 00:00:00", "2025-06-01 12:00:00", "2025-06-01 00:00:00", None, None, None]
