@@ -262,7 +262,11 @@ def token_jaccard(spark, sf_dir):
     return work_orders(spark, sf_dir).select("wo_id", F.round(text.similarity(F.col("defect"), F.lit("HYD PUMP LEAK")), 6).alias("similarity"))
 
 
-@query()
+@query(r"""SELECT wo_id, array_to_string(list_sort(list_distinct(list_concat(list_concat(
+  regexp_extract_all(t, '(?i)\b(TSM|FIM|AMM|IPC|WDM|SRM)\s+[0-9-]+\b', 1),
+  list_transform(regexp_extract_all(t, '(?i)\b(?:ECAM|EICAS|CAS|BITE|FWC)[-\s](?:FAULT|FAIL|WARN|TEST)\b'), lambda x: upper(regexp_replace(x, '\s', '-', 'g')))),
+  regexp_extract_all(t, '(?i)\bATA\s*\d{2}[-\s]?\d{2}\b')))), ';') AS keywords
+ FROM (SELECT wo_id, concat_ws(' ', defect, action) AS t FROM wo)""")
 def tech_keywords(spark, sf_dir):
     return work_orders(spark, sf_dir).select("wo_id", F.array_join(text.technical_keywords(F.concat_ws(" ", "defect", "action")), ";").alias("keywords"))
 
@@ -270,7 +274,36 @@ def tech_keywords(spark, sf_dir):
 # --- citations ------------------------------------------------------------------------------------------------
 
 
-@query()
+_SEQ_SQL = r"(?:\d{2}[- ]?\d{2}(?:[- ]?\d{2,3}){0,3}|\d{6,8})"
+
+
+def _cited(source: str) -> str:
+    """CTEs up to `cited` (t, priority, normalized, manual, ata04, source, place) of the distinct texts t that `source` selects.
+
+    Without looking around: bare tasks and runs of digits take the characters beside them, which are doubled before.
+    """
+    return rf"""x AS (SELECT DISTINCT t FROM ({source})),
+ y AS (SELECT t, regexp_replace(t, '(?i)\bCMM\s*[-:]?\s*{_SEQ_SQL}\b', ' ', 'g') AS rest FROM x),
+ found AS (
+  SELECT t, upper(regexp_extract(raw, '(?i)^(TSM|IPC|AMM|FIM|CMM|WDM|SRM)', 1)) AS manual, raw, regexp_extract(raw, '({_SEQ_SQL})$', 1) AS seq, 'prefix' AS source
+   FROM (SELECT t, unnest(regexp_extract_all(t, '(?i)\b(?:TSM|IPC|AMM|FIM|CMM|WDM|SRM)\s*[-:]?\s*{_SEQ_SQL}\b')) AS raw FROM y)
+  UNION ALL SELECT t, 'UNKNOWN', raw, raw, 'task'
+   FROM (SELECT t, unnest(regexp_extract_all(regexp_replace(rest, '([^A-Za-z0-9-])', '\1\1', 'g'), '(?:^|[^A-Za-z0-9])(\d{{2}}-\d{{2}}(?:-\d{{2,3}}){{0,3}})(?:$|[^A-Za-z0-9])', 1)) AS raw FROM y)
+  UNION ALL SELECT t, 'UNKNOWN', raw, raw, 'compact'
+   FROM (SELECT t, unnest(regexp_extract_all(' ' || regexp_replace(rest, '[^0-9]+', '  ', 'g') || ' ', ' (\d{{6,8}}) ', 1)) AS raw FROM y) WHERE NOT (length(raw) = 8 AND (raw LIKE '19%' OR raw LIKE '20%'))),
+ parts AS (SELECT *, regexp_replace(regexp_replace(seq, '[\s-]+', '-', 'g'), '^-|-$', '', 'g') AS written, regexp_replace(seq, '\D', '', 'g') AS d FROM found WHERE manual <> 'CMM'),
+ norms AS (SELECT *, CASE WHEN regexp_matches(written, '^\d{{2}}-\d{{2}}(?:-\d{{2,3}})*$') THEN written
+   WHEN length(d) % 2 = 0 THEN substr(d, 1, 2) || regexp_replace(substr(d, 3), '(\d{{2}})', '-\1', 'g')
+   ELSE substr(d, 1, 2) || regexp_replace(substr(d, 3, length(d) - 5), '(\d{{2}})', '-\1', 'g') || '-' || right(d, 3) END AS normalized FROM parts),
+ ranked AS (SELECT t, CASE manual WHEN 'TSM' THEN 1 WHEN 'IPC' THEN 2 WHEN 'AMM' THEN 3 WHEN 'FIM' THEN 4 WHEN 'UNKNOWN' THEN 5 ELSE 999 END AS priority, normalized, manual, substr(normalized, 1, 5) AS ata04, raw, source FROM norms),
+ firsts AS (SELECT *, row_number() OVER (PARTITION BY t, normalized ORDER BY priority, manual, raw, source) AS r FROM ranked),
+ cited AS (SELECT t, priority, normalized, manual, ata04, source, row_number() OVER (PARTITION BY t ORDER BY priority, normalized) AS place FROM firsts WHERE r = 1)"""
+
+
+_BOTH = "SELECT wo_id, concat_ws(chr(10), defect, action) AS t FROM wo"
+
+
+@query(f", {_cited(_BOTH)} SELECT wo_id, priority, normalized, manual, ata04, source FROM ({_BOTH}) JOIN cited USING (t)")
 def citations_exploded(spark, sf_dir):
     c = citations.with_citations(work_orders(spark, sf_dir), "defect", "action").select("wo_id", F.explode("citations").alias("c"))
     return c.select("wo_id", "c.priority", "c.normalized", "c.manual", "c.ata04", "c.source")
@@ -281,15 +314,20 @@ def prefixed_counts(spark, sf_dir):
     return work_orders(spark, sf_dir).select("wo_id", F.regexp_count(F.coalesce("action", F.lit("")), F.lit(r"\b(TSM|IPC|AMM|FIM|WDM|SRM)\s*[-:]?\s*\d{2}[- ]?\d{2}")).alias("n"))
 
 
-@query(r"SELECT wo_id, regexp_extract(action, '\bTASK (\d{2}-\d{2})', 1) AS code FROM wo WHERE action = 'TASK 21-26-40-001 DONE' AND (defect IS NULL OR defect NOT LIKE '%AMM%')")
+@query(f", {_cited(_BOTH)} SELECT wo_id, manual, ata04 AS code FROM ({_BOTH}) LEFT JOIN (SELECT * FROM cited WHERE place = 1) USING (t)")
 def best_citation(spark, sf_dir):
-    wo = work_orders(spark, sf_dir).where("action = 'TASK 21-26-40-001 DONE' AND (defect IS NULL OR defect NOT LIKE '%AMM%')")
-    return wo.select("wo_id", citations.best(F.concat_ws("\n", "defect", "action"))["ata04"].alias("code"))
+    """The best citation of every work order, null if it has none."""
+    best = text.on_distinct(work_orders(spark, sf_dir), ["defect", "action"], lambda d: d.withColumn("c", citations.best(F.concat_ws("\n", "defect", "action"))))
+    return best.select("wo_id", "c.manual", F.col("c.ata04").alias("code"))
+
+
+_ACTION = "SELECT wo_id, coalesce(action, '') AS t FROM wo"
 
 
-@query("SELECT wo_id, CAST(0 AS INTEGER) AS n FROM wo WHERE action = 'ADJUSTED AS PER CMM 32-41-00'")
+@query(f", {_cited(_ACTION)} SELECT wo_id, count(normalized)::INTEGER AS n FROM ({_ACTION}) LEFT JOIN cited USING (t) GROUP BY wo_id")
 def cmm_excluded(spark, sf_dir):
-    return work_orders(spark, sf_dir).where("action = 'ADJUSTED AS PER CMM 32-41-00'").select("wo_id", F.size(citations.extract(F.col("action"))).alias("n"))
+    """How many citations every action has; component manuals don't count, nor do their digits."""
+    return citations.with_citations(work_orders(spark, sf_dir), "action").select("wo_id", F.size("citations").alias("n"))
 
 
 @query(r"SELECT doc_id, len(list_filter(regexp_extract_all(' ' || replace(regexp_replace(text, '[^0-9]+', '  ', 'g'), ' ', '  ') || ' ', ' (\d{6,8}) ', 1), lambda x: NOT (length(x) = 8 AND (x LIKE '19%' OR x LIKE '20%'))))::INTEGER AS n FROM documents")
@@ -298,7 +336,7 @@ def compressed_refs(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(found).alias("n"))
 
 
-@query()
+@query(f", {_cited(_BOTH)} SELECT priority, manual, count(*) AS n FROM ({_BOTH}) JOIN cited USING (t) GROUP BY priority, manual")
 def priority_counts(spark, sf_dir):
     return citations_exploded(spark, sf_dir).groupBy("priority", "manual").agg(F.count("*").alias("n"))
 
@@ -485,7 +523,7 @@ def catalog_match(spark, sf_dir):
     return catalog.match(c, q, "q", "defect", "action", 1).select("q", "ata04", F.round("score", 6).alias("score"), "snippet")
 
 
-@query()
+@query(f"WITH {_LINES} SELECT DISTINCT c2 || '-' || c4 AS \"ATA04\", 'SYSTEM ' || c2 || ' - UNIT ' || c4 || ' OF ASSEMBLY' AS \"Titles\", c2 || '-' || c4 AS \"Keywords\", '' AS \"Sample_Phrases\", 'CATALOG' AS \"Source\", '' AS \"Notes\" FROM l")
 def catalog_flat(spark, sf_dir):
     e = hierarchy.code_titles(hierarchy.nodes(code_lines(spark, sf_dir))).select(F.col("ATA04").alias("ata04"), F.col("Title").alias("title"), F.array(F.col("ATA04")).alias("keywords"), F.array().cast("array<string>").alias("samples"))
     return catalog.flatten_entries(e)
@@ -547,7 +585,11 @@ def work_order_decisions(spark, sf_dir):
     return decided(wo, cited_catalog(wo)).select("wo_id", "technical", "e0", "e1", "e1_source", "e2", "decision", F.round("confidence", 4).alias("confidence"), "recommended")
 
 
-@query()
+@query(f""", {_MATRIX}, u AS (SELECT *, coalesce(e1, e2, e0) AS final FROM z), q AS (SELECT * FROM u WHERE decision = 'REVIEW' OR confidence < 0.82 OR final IS NULL ORDER BY wo_id LIMIT 300),
+ k AS (SELECT wo_id, e1 AS code, 1.0 AS score, 1 AS place FROM q WHERE e1 IS NOT NULL UNION ALL SELECT wo_id, e2, e2_score, 2 FROM q WHERE e2 IS NOT NULL UNION ALL SELECT wo_id, e0, 0.5, 3 FROM q WHERE e0 IS NOT NULL),
+ f AS (SELECT wo_id, code, arg_min(score, place) AS score FROM k GROUP BY wo_id, code),
+ b AS (SELECT wo_id, code, row_number() OVER (PARTITION BY wo_id ORDER BY score DESC, code) AS r FROM f)
+ SELECT q.wo_id AS row_id, b.code AS choice FROM q LEFT JOIN b ON b.wo_id = q.wo_id AND b.r = 1""")
 def arbiter_candidates(spark, sf_dir):
     m = matrix(spark, sf_dir).withColumn("technical", F.lit(True))
     e2s = F.when(F.col("e2").isNotNull(), F.array(F.struct(F.col("e2").alias("ata04"), F.col("e2_score").alias("score"))))
