@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarmac.llm import html_text, kneser_ney, media, minhash_dedup, quality_rules, substring_dedup, tokens, url_filters
+from tarmac.llm import html_text, kneser_ney, licenses, media, minhash_dedup, quality_rules, substring_dedup, tokens, url_filters
 from tarmac.llm.blocks import hashed, runs, word_hashes, words_in
 
 #: Names that the operators use inside.
@@ -307,3 +307,36 @@ def test_templates_against_brute_force(spark):
         kept = [p for p in parts if (host, p) not in gone]
         assert got[i] == " ".join(" ".join(re.sub("<[^>]*>", " ", p).split()) for p in kept)
     assert any((host, p) in gone for host, parts in pages for p in parts)
+
+
+def test_every_license_family_and_passage():
+    """Each name of each family, phrased, gives its label; versions theirs; and every passage is found as it stands."""
+    for label, names, versions in licenses.FAMILIES:
+        for name in names:
+            assert label in licenses.scan(f"This file is licensed under the {name}.")[5].split(","), name
+            for v in versions:
+                assert f"{label}-{v.replace(' ', '.')}" in licenses.scan(f"released under {name} version {v.replace(' ', '.')}")[5].split(","), (name, v)
+    for kind, *names in licenses.CC_KINDS:
+        assert any(x.startswith(f"cc-{kind}") for x in licenses.scan(f"This work is under CC {names[-1].upper()} 4.0")[5].split(",")), kind
+    plain = [(label, regex) for label, regex, _, _ in licenses.PASSAGES if not any(c in regex for c in "(?\\[")]
+    assert len(plain) > 8
+    for label, regex in plain:
+        assert label in licenses.scan(f"Note: {regex}, as stated.")[5].split(","), regex
+
+
+def test_licenses_without_the_prefilter():
+    """Every rule on every text, suppressed by comparing all pairs, finds what the gated rules find."""
+    import re
+
+    r = random.Random(6)
+    names = [n for _, ns, _ in licenses.FAMILIES for n in ns]
+    bits = ["licensed under the", "released under", "version 2.0", "v 3", "SPDX-License-Identifier:", "and", "all rights reserved", "CC BY-SA 4.0", "public domain", "in the public domain", "use only", "dual licensed under"]
+    rules = [(re.compile(rb" (?:" + s.regex.encode() + rb")(?= )"), s) for s in licenses.signatures()]
+    for _ in range(25):
+        norm = licenses.words_of(" ".join(r.choice(bits if r.random() < 0.6 else names) for _ in range(r.randint(1, 14))))
+        found = sorted(((m.start(), m.end(), s) for p, s in rules for m in p.finditer(norm)), key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
+        kept: list = []
+        for a, b, s in found:
+            if not any(x <= a and b <= y for x, y, _ in kept):
+                kept.append((a, b, s))
+        assert licenses.detect(norm) == kept
