@@ -42,7 +42,7 @@ HASHES = BANDS * ROWS
 #: A link's sketches agree at most so many standard deviations less than it is similar.
 DEVIATIONS = 5
 #: Members of a bucket that one task holds against each other, or against as many.
-CELL_BLOCK = 1024
+CELL_BLOCK = 512
 #: Classes confirmed against the same one in one group.
 HUB = 256
 #: Partners that each member of a bucket is confirmed against in the first round, and their growth from round to round.
