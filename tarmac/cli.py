@@ -1,13 +1,14 @@
-"""Command line: build a catalog, classify work orders, merge a code map, ingest a folder, show statistics."""
+"""Command line: build a catalog, classify work orders, merge and validate a code map, ingest a folder, migrate and tidy a cache, show statistics."""
 
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import catalog, decision, detect, store
+from .operators import cache, catalog, decision, detect, maintenance, store
 from .plans import registry
 from .sources import files, xlsx
 from .streaming import ingest
@@ -37,6 +38,18 @@ def merge_map(spark, a) -> None:
     store.append_map(spark, files.code_map(spark, a.input, a.column), a.out)
 
 
+def validate(spark, a) -> None:
+    detect.validate_map(read(spark, a.input)).show()
+
+
+def migrate(spark, a) -> None:
+    print(maintenance.migrate_cache(spark, a.input, a.out))
+
+
+def tidy(spark, a) -> None:
+    print(cache.cleanup(spark, a.cache, int(time.time())), cache.vacuum(spark, a.cache))
+
+
 def sync(spark, a) -> None:
     schema = "defect string, action string, final string, entered string"
     ingest.ingest_stream(ingest.watch(spark, a.input, schema), a.out, a.checkpoint, "defect", "action", "final", "entered").awaitTermination()
@@ -55,6 +68,9 @@ def main(argv: list[str] | None = None) -> None:
         ("build", build, {"--memory": 1, "--map": 1, "--out": 1}),
         ("classify", classify, {"--input": 1, "--catalog": 0, "--out": 1}),
         ("map", merge_map, {"--input": 1, "--column": 0, "--out": 1}),
+        ("validate", validate, {"--input": 1}),
+        ("migrate", migrate, {"--input": 1, "--out": 1}),
+        ("tidy", tidy, {"--cache": 1}),
         ("sync", sync, {"--input": 1, "--out": 1, "--checkpoint": 1}),
         ("stats", show_stats, {"--memory": 1}),
     ):
