@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
@@ -89,23 +89,29 @@ def group_records(records: DataFrame, seq: str = "seq") -> DataFrame:
 
 def top_tokens(docs: DataFrame, key: str, text: str, k: int = 12) -> DataFrame:
     """key, token, n: the k most frequent tokens `[a-z0-9-/.]{3,}` of each document, ties by token."""
-    from pyspark.sql import Window
-
     rows = docs.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[a-z0-9\-/.]{3,}"), F.lit(0))).alias("token"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "token"))
     return rows.groupBy(key, "token").agg(F.count("*").alias("n")).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def joined_by_class(docs: DataFrame, key: str, text: str, order: str) -> DataFrame:
-    """key, text: a class's documents in order, a blank line between them."""
-    return docs.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("_t")))), lambda x: x["_t"]), "\n\n").alias(text))
+def class_starts(docs: DataFrame, key: str, text: str, order: str, cut: int) -> DataFrame:
+    """key, text: the first `cut` characters of a class's documents in order, a blank line between them.
+
+    Only documents that begin within them are brought together, so that a class's row is bounded.
+    """
+    before = Window.partitionBy(key).orderBy(order, text).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length(text) + 2).over(before), F.lit(0))
+    rows = docs.select(key, order, F.substring(F.coalesce(text, F.lit("")), 1, cut).alias("_t"), start.alias("_start")).where(F.col("_start") < cut)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("_t")))), lambda x: x["_t"]), "\n\n")
+    return rows.groupBy(key).agg(F.substring(joined, 1, cut).alias(text))
 
 
 def enriched_items(docs: DataFrame, names: DataFrame, cut: int = 1200) -> DataFrame:
-    """ata4, name, engine_type, keywords, sample of docs(ata4, text): the enriched catalog's items."""
+    """ata4, name, engine_type, keywords, sample of docs(ata4, text, o): the enriched catalog's items, texts in the order of o."""
     words = top_tokens(docs, "ata4", "text").groupBy("ata4").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("keywords"))
-    named = docs.join(words, "ata4", "left").join(last_titles(names).toDF("ata4", "name"), "ata4", "left")
-    return engine_fanout(named.select("ata4", "name", "keywords", F.substring("text", 1, cut).alias("sample"))).select("ata4", "name", "engine_type", "keywords", "sample")
+    starts = class_starts(docs, "ata4", "text", "o", cut).withColumnRenamed("text", "sample")
+    named = starts.join(words, "ata4", "left").join(last_titles(names).toDF("ata4", "name"), "ata4", "left")
+    return engine_fanout(named.select("ata4", "name", "keywords", "sample")).select("ata4", "name", "engine_type", "keywords", "sample")
 
 
 def enriched_json(items: DataFrame, version: str = "1", generated_by: str = "tarmac") -> DataFrame:

@@ -63,8 +63,7 @@ def citation_tally(cases: DataFrame) -> DataFrame:
 
 def enrich(records: DataFrame, code_map: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Items of the enriched catalog from records of unstructured sheets and, if given, history (ata4, text)."""
-    docs = hierarchy.group_records(records)
+    docs = hierarchy.group_records(records).withColumn("o", F.lit(0))
     if history is not None:
-        both = docs.withColumn("o", F.lit(0)).unionByName(history.select("ata4", "text").withColumn("o", F.lit(1)))
-        docs = hierarchy.joined_by_class(both, "ata4", "text", "o")
+        docs = docs.unionByName(history.select("ata4", "text").withColumn("o", F.lit(1)))
     return hierarchy.enriched_items(docs, code_map)

@@ -186,3 +186,11 @@ def test_dates_of_workbooks(spark):
     cases = ["45809", "45809.5", "2025-06-01", "x", None, "0"]
     rows = spark.createDataFrame(list(enumerate(cases)), "i int, d string").select("i", detect.read_date(F.col("d")).cast("string").alias("t")).orderBy("i").collect()
     assert [r["t"] for r in rows] == ["2025-06-01 00:00:00", "2025-06-01 12:00:00", "2025-06-01 00:00:00", None, None, None]
+
+
+def test_class_starts(spark):
+    """The start of all documents joined, whatever stands behind it."""
+    docs = [("a", i % 3, "text number %d of the class" % i) for i in range(50)] + [("b", 0, None), ("b", 1, "x")]
+    got = {r["k"]: r["t"] for r in hierarchy.class_starts(spark.createDataFrame(docs, "k string, o int, t string"), "k", "t", "o", 120).collect()}
+    whole = "\n\n".join(t for _, t in sorted((o, t) for k, o, t in docs if k == "a"))
+    assert got == {"a": whole[:120], "b": "\n\nx"}
