@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Seconds of writing after which shuffle files that nothing refers to are freed: large writes free theirs at once.
+FREE_AFTER = 3.0
 #: ASCII white space as the contracts of this package mean it: 0x20 and 0x09-0x0D.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
@@ -42,7 +45,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.spent = 0, 0.0
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         fs.mkdirs(path)
@@ -52,11 +55,14 @@ class Workspace:
         """Write df once and read it back; shuffle files of what is no longer referenced are freed."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
+        began = time.monotonic()
         df.write.option("compression", "zstd").parquet(path)
+        self.spent += time.monotonic() - began
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tarmac_path = path
         del df
-        self.free()
+        if self.spent > FREE_AFTER:
+            self.free()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -67,6 +73,8 @@ class Workspace:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def free(self) -> None:
+        """Let Spark's cleaner see what is no longer referenced; a full collection costs as much as a small job."""
+        self.spent = 0.0
         gc.collect()
         self.spark._jvm.System.gc()
 
