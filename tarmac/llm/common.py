@@ -109,6 +109,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000,
         yield b.slice(start)
 
 
+def trim() -> None:
+    """Give memory that a task of a reused Python worker no longer needs back to the system."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it likes
+        pass
+
+
 def total_bytes(df: DataFrame, column: str) -> int:
     """Bytes of a string column over the whole table (one narrow aggregate)."""
     return df.agg(F.sum(F.octet_length(column))).head()[0] or 0

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import hashed, mix
-from .common import Workspace, slices
+from .common import Workspace, slices, trim
 from .components import connected_components
 
 SHINGLE = 5
@@ -139,6 +139,7 @@ def sign(docs: DataFrame) -> DataFrame:
             keys = [k if ok else None for k, ok in zip(_class_keys(sets), ids.is_valid().to_pylist(), strict=True)]
             both = [pa.array([k and k[n] for k in keys], pa.int64()) for n in (0, 1)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), *both, pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
 

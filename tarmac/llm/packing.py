@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, total_bytes
+from .common import slices, total_bytes, trim
 from .tokens import char_table
 
 LENGTH = 2048
@@ -111,6 +111,7 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in slices(batches, "text", 2_000_000):
             ids = [b"".join(map(known.__getitem__, _split(t or ""))) + end for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, arrow_fields, block_count, deal, grams, hashed, mix, raw_texts, runs, with_fields, word_hashes, words_in
-from .common import Workspace
+from .common import Workspace, trim
 
 W = 35
 _U = np.uint64
@@ -97,6 +97,7 @@ def anchor_rows(dealt: DataFrame, w: int) -> DataFrame:
                     _, own, _ = anchors(*hashed(part), w)
                     a, n = np.unique(own, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), block, "i4")), _long(a), pa.array(np.minimum(n, 2).astype("i4"))], ["block", "a", "n"])
+        trim()
 
     return dealt.mapInArrow(run, "block int, a long, n int")
 
@@ -129,6 +130,8 @@ def window_rows(dealt: DataFrame, recurring_anchors: DataFrame, w: int) -> DataF
         if not keys or not left.num_rows:
             return schema.empty_table()
         both = np.concatenate(keys)
+        del keys
+        trim()
         order = np.lexsort((both[:, 1], both[:, 0]))
         both = both[order]
         new = np.r_[True, (both[1:] != both[:-1]).any(1)]
@@ -283,6 +286,8 @@ def locate(dealt: DataFrame, windows: DataFrame, finish, schema: pa.Schema, colu
                 b, n = int(block.begins[k]), int(block.sizes[k])
                 rows.append(finish(raw, n, gone[b : b + n] if any_gone[k] else None))
                 k += 1
+        del block, gone
+        trim()
         cols = list(zip(*rows, strict=True))
         arrays = [left.column(c) for c in columns] + [pa.array(v, f.type) for v, f in zip(cols, schema, strict=True)]
         return pa.Table.from_arrays(arrays, [*columns, *schema.names])
