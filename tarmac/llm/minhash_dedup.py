@@ -6,17 +6,18 @@
 2. Round one: each class is held against the first class of each of its buckets, by sketches of their signatures,
    and the most similar one is confirmed on full shingle sets. A bucket of near copies of one text collapses here,
    with work in proportion to its members.
-3. Later rounds: in buckets that still hold several components, members of different components are held
-   against each other by sketches (120 bytes each; large buckets in pairs of chunks). Of the pairs that may be
-   links, the most similar ones of each two components are confirmed on full sets, more of them in each round,
-   until every pair that may be a link is confirmed, refuted, or within one component.
+3. In buckets that still hold several components, members whose sketches (120 bytes) may belong to links are put
+   into groups, each member with one row for each bucket. What these groups join are clusters; each cluster gets
+   its members' full sets once, and all pairs of different components that may be links are confirmed there by
+   counting common shingles. Only links between components leave a task, fewer than it has members.
    Components by large-star and small-star.
 
-Nothing is capped: what isn't settled goes on to the next round. A link can be missed only if it shares no band or
-its sketches agree five standard deviations too little. Hot groups: equal sets collapse before anything is grouped,
-buckets are counted with partial aggregates and never stand in one task as a whole, and the confirmations around a
-hub are dealt in groups of HUB. What still grows with the square of a bucket is the comparison of sketches, if
-its members aren't linked.
+Nothing is capped, and no table holds pairs: they are compared inside tasks. A link can be missed only if it shares
+no band or its sketches agree five standard deviations too little. Hot groups: equal sets collapse before anything is
+grouped, buckets are counted with partial aggregates, and the confirmations around a hub are dealt in groups of HUB.
+A bucket or cluster beyond one cell (CELL_BLOCK members, CELL_SHINGLES shingles) is dealt in pairs of chunks; the
+members of its largest component are only held against the others, so that rows grow beyond proportion only if
+more than a cell's members stand outside that component.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; repeated rows (the
 same doc_id) are copies of each other, all kept if theirs is the smallest doc_id, and may have different texts, null
@@ -41,12 +42,11 @@ BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
 #: A link's sketches agree at most so many standard deviations less than it is similar.
 DEVIATIONS = 5
-#: Members of a bucket that one task holds against each other, or against as many.
-CELL_BLOCK = 512
+#: Members of a bucket or cluster, and shingles of a cluster's members, that one task holds against each other, or
+#: against as many.
+CELL_BLOCK, CELL_SHINGLES = 8192, 2_000_000
 #: Classes confirmed against the same one in one group.
 HUB = 256
-#: Partners that each member of a bucket is confirmed against in the first round, and their growth from round to round.
-PARTNERS, WIDEN = 4, 8
 _U = np.uint64
 
 
@@ -167,49 +167,117 @@ def star_pairs(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return found.groupBy("u").agg(F.max(F.struct("agree", "v")).alias("best")).select("u", "best.v")
 
 
-def open_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame, ws: Workspace, percent: int, limit: int) -> DataFrame:
-    """key, u, v, more: pairs of a bucket's members of different components that may be links, as a written table.
+def cells(rows: DataFrame, ws: Workspace) -> DataFrame:
+    """key, lo, hi, b, node, label: the members of groups (key) with several labels, dealt in pairs (lo, hi) of chunks b.
 
-    For each member, in its bucket or pair of chunks, its `limit` most similar partners; more tells that there are others.
+    rows: key, node, label, w, the share of a cell that a member takes. Any two members of different labels meet in
+    one cell; those of a large group's largest label don't meet each other, unless they are in one chunk.
+    """
+    sizes = rows.groupBy("key", "label").agg(F.sum("w").alias("w"))
+    groups = sizes.groupBy("key").agg(F.max(F.struct("w", "label")).alias("big"), F.sum("w").alias("all"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    whole = F.col("all") <= 1
+    others, own = F.greatest(F.ceil(F.col("all") - F.col("big.w")), F.lit(1)), F.greatest(F.ceil("big.w"), F.lit(1))
+    groups = groups.where("lo <> hi").select("key", F.col("big.label").alias("big"), F.when(whole, 1).otherwise(others).cast("int").alias("kr"), F.when(whole, 0).otherwise(own).cast("int").alias("kl"))
+    rows = rows.join(ws.write(groups, "mixed"), "key")
+    place, in_big = F.xxhash64("node"), (F.col("label") == F.col("big")) & (F.col("kl") > 0)
+    b = F.when(in_big, F.col("kr") + F.pmod(place, F.greatest("kl", F.lit(1)))).otherwise(F.pmod(place, F.col("kr"))).cast("int")
+    last = F.when(in_big, F.col("kr") - 1).otherwise(F.col("kr") + F.col("kl") - 1)
+    rows = rows.select("key", "node", "label", b.alias("b"), F.explode(F.sequence(F.lit(0), last)).alias("o"))
+    return rows.select("key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "node", "label")
+
+
+def alike(s: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """For each sketch a number of its group; any two that may be a link are in one group.
+
+    Members found are not looked at again, so that a group of similar ones takes a few passes.
     """
     least = least_agreement(percent)
-    tagged = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    tagged = ws.write(tagged, "tagged")
-    mixed = ws.write(tagged.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "m"), "mixed")
-    k = F.ceil(F.col("m") / CELL_BLOCK).cast("int")
-    rows = tagged.join(mixed, "key").select("key", "node", "label", k.alias("k"), F.pmod(F.xxhash64("node"), k).cast("int").alias("b"))
-    rows = rows.join(classes.select("node", "n", "sketch").hint("merge"), "node")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")).select("key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "node", "label", "n", "sketch")
+    group = np.arange(len(n))
+    left = np.arange(len(n))
+    while len(left):
+        first, left = left[0], left[1:]
+        todo, sl, nl = [first], s[left], n[left]
+        while todo and len(left):
+            i = todo.pop()
+            near = np.count_nonzero(sl == s[i], axis=1) >= least
+            near &= 100 * np.minimum(nl, n[i]) >= percent * np.maximum(nl, n[i])
+            if near.any():
+                todo.extend(left[near].tolist())
+                group[left[near]] = first
+                left, sl, nl = left[~near], sl[~near], nl[~near]
+    return group
+
+
+def near_members(dealt: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """u, v: members of a cell's groups of similar sketches with several labels, each with its group's first member."""
 
     def run(t: pa.Table) -> pa.Table:
-        key = t.column("key")[0].as_py()
-        node, label, n, b = (t.column(c).to_numpy() for c in ("node", "label", "n", "b"))
-        order = np.lexsort((node, label))
-        node, label, n, b = node[order], label[order], n[order], b[order]
-        s = _sketches(t.column("sketch"))[order]
-        two = t.column("lo")[0] != t.column("hi")[0]
-        found, more = [], False
-        for i in range(len(node)):
-            ok = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            if two:
-                ok &= b != b[i]
-            at = np.flatnonzero(ok)
-            agree = np.count_nonzero(s[at] == s[i], axis=1)
-            at, agree = at[agree >= least], agree[agree >= least]
-            if len(at) > limit:
-                more = True
-                at = at[np.argsort(-agree, kind="stable")[:limit]]
-            found.append(np.stack([np.full(len(at), i), at], 1))
-        i, j = np.concatenate(found).T
-        pairs = np.unique(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])], 1), axis=0)
-        u, v = pairs[:, 0].copy(), pairs[:, 1].copy()
-        return pa.table({"key": pa.array([key] * len(u), pa.int64()), "u": u, "v": v, "more": np.full(len(u), more)})
-
-    out = ws.write(rows.groupBy("key", "lo", "hi").applyInArrow(run, "key long, u long, v long, more boolean"), "open")
-    ws.drop(tagged, mixed)
+        node, label, n = (t.column(c).to_numpy() for c in ("node", "label", "n"))
+        group = alike(_sketches(t.column("sketch")), n, percent)
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        several = np.zeros(len(n), bool)
+        several[group[order[starts]]] = np.minimum.reduceat(label[order], starts) != np.maximum.reduceat(label[order], starts)
+        at = np.flatnonzero(several[group])
+        return pa.table({"u": node[at], "v": node[group[at]]})
+
+    rows = dealt.join(classes.select("node", "n", "sketch").hint("merge"), "node")
+    return rows.groupBy("key", "lo", "hi").applyInArrow(run, "u long, v long").where("u <> v")
+
+
+def cell_links(label: np.ndarray, chunk: np.ndarray, s: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Places (i, j) of links, enough to join all labels that links join; of two chunks, only links between them."""
+    least, n = least_agreement(percent), np.array([len(x) for x in sets])
+    starts = np.cumsum(n) - n
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes, mine = codes.astype("i4"), np.zeros(len(names), "i4")
+    label = np.unique(label, return_inverse=True)[1]
+    two = chunk.min() != chunk.max()
+    done, out = np.zeros(len(n), bool), []
+    # One end at least of each link between labels is outside the most frequent one.
+    for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+        ok = ~done & (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        done[i] = True
+        if two:
+            ok &= chunk != chunk[i]
+        at = np.flatnonzero(ok)
+        at = at[np.count_nonzero(s[at] == s[i], axis=1) >= least]
+        if not len(at):
+            continue
+        own = codes[starts[i] : starts[i] + n[i]]
+        mine[own] = 1
+        size = n[at]
+        if 3 * size.sum() > len(codes):
+            inner = np.add.reduceat(mine[codes], starts)[at]
+        else:
+            begin = np.cumsum(size) - size
+            inner = np.add.reduceat(mine[codes[np.arange(size.sum()) + np.repeat(starts[at] - begin, size)]], begin)
+        mine[own] = 0
+        at = at[100 * inner >= percent * (n[i] + size - inner)]
+        old, first = np.unique(label[at], return_index=True)
+        out += [(i, j) for j in at[first].tolist()]
+        label[np.isin(label, old)] = label[i]
     return out
 
 
+def cluster_links(dealt: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """u, v: links between components, confirmed on full sets, in each cell fewer than its members."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node, label, b = (t.column(c).to_numpy() for c in ("node", "label", "b"))
+        # A large component's chunk has no cell of its own, and one alone in its cell meets nothing.
+        links = []
+        if t.column("lo")[0] == t.column("hi")[0] or b.min() != b.max():
+            links = cell_links(label, b, _sketches(t.column("sketch")), _sets_of(t.column("text")), percent)
+        if t.nbytes > 4_000_000:
+            trim()
+        u, v = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"u": node[list(u)], "v": node[list(v)]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    rows = dealt.join(classes.select("node", "sketch").hint("merge"), "node").join(texts.hint("merge"), "node")
+    return rows.groupBy("key", "lo", "hi").applyInArrow(run, "u long, v long")
+
+
 def class_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, text: one text of each of the classes in nodes."""
 
@@ -275,23 +343,18 @@ def class_groups(docs: DataFrame, classes: DataFrame, ws: Workspace, percent: in
         return ws.write(moved.unionByName(fresh), "labels")
 
     pairs = ws.write(star_pairs(shared, classes, percent), "pairs")
-    tested = pairs.select("u", "v")
     labels = joined(None, ws.write(confirmed(pairs, texts, percent), "links"))
-    open_, limit = shared, PARTNERS
-    while True:
-        found = open_pairs(open_, classes, labels, ws, percent, limit)
-        pairs = ws.write(found.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tested = ws.write(tested.unionByName(pairs), "tested")
-            links = ws.write(confirmed(pairs, texts, percent), "links")
-            if not links.isEmpty():
-                labels = joined(labels, links)
-        # All that may be links in the other buckets has been tested: components only grow, so that nothing new comes up.
-        rest = ws.write(open_.join(found.where("more").select("key").distinct(), "key", "left_semi"), "rest")
-        ws.drop(found)
-        if rest.isEmpty():
-            return labels
-        open_, limit = rest, limit * WIDEN
+
+    def tagged(rows: DataFrame, w) -> DataFrame:
+        return ws.write(rows.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), w.alias("w")), "tagged")
+
+    share = F.lit(1.0 / CELL_BLOCK)
+    near = near_members(cells(tagged(shared, share), ws), classes, percent)
+    clusters = connected_components(ws, ws.write(near, "near"))
+    clusters = clusters.join(classes.select("node", "n"), "node").select("node", F.col("component").alias("key"), "n")
+    dealt = cells(tagged(clusters, share + F.col("n") / CELL_SHINGLES), ws)
+    links = ws.write(cluster_links(dealt, classes, texts, percent), "links")
+    return labels if links.isEmpty() else joined(labels, links)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -340,3 +340,32 @@ def test_licenses_without_the_prefilter():
             if not any(x <= a and b <= y for x, y, _ in kept):
                 kept.append((a, b, s))
         assert licenses.detect(norm) == kept
+
+
+@pytest.mark.parametrize("block", [8192, 48])
+def test_tables_grow_with_members(spark, monkeypatch, block):
+    """Texts that share most of a template and are no links, with a few links between them: no table holds their pairs."""
+    from test_corpus_operators import minhash_by_hand
+
+    monkeypatch.setattr(minhash_dedup, "CELL_BLOCK", block)
+    r = random.Random(12)
+    template = [f"t{i}" for i in range(200)]
+    texts = [" ".join(template + [f"n{r.randrange(10**9)}" for _ in range(28)]) for _ in range(300)]
+    for i in range(10):
+        words = texts[i].split()
+        words[210:212] = f"m{i}", f"k{i}"
+        texts.append(" ".join(words[: 220 + i % 9]))
+    sizes = {}
+    write = minhash_dedup.Workspace.write
+
+    def counted(self, df, name="t"):
+        out = write(self, df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup.Workspace, "write", counted)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = minhash_by_hand(texts)
+    assert [got[i] for i in range(len(texts))] == want and 250 < len({c for _, c in want}) < len(texts)
+    # a row for each band at most, and for each pair of chunks that a bucket has
+    assert max(sizes.values()) <= minhash_dedup.BANDS * len(texts) * -(-len(texts) // block), sizes
