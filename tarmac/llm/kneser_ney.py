@@ -8,8 +8,8 @@ them up per document. A document is kept if its perplexity is within the limit o
 over trusted documents that training didn't see, with a margin: the pair of QUANTILES and MARGINS that best tells
 them from documents of quality 0.
 
-Training takes about TRAIN_DOCS trusted documents of each language; the corpus is whole, and so are the
-quantiles: every trusted document outside the training sample counts. No key takes all rows to one task: blocks are
+Every trusted document counts, by a hash of its doc_id: TRAIN_SHARE of them are the model's training text, whole, and
+all others set the limits, since the model knows those it was trained on too well to judge by them. No key takes all rows to one task: blocks are
 bounded, languages are only aggregated, and what blocks send to a bucket of n-grams is streamed past its n-grams.
 
 Defined results: null and empty texts have no perplexity and aren't kept; a null language or one with few
@@ -38,10 +38,10 @@ SYMBOLS = 1 << BITS
 FOLD = 0x250
 #: Stands before a text, ORDER - 1 times.
 BEGIN = 2
-#: Bound on the training sample: about so many trusted documents of each language, those whose doc_id has a hash
-#: below the share of the language's trusted documents that this is.
-TRAIN_DOCS = 1500
-#: Share of trusted documents that may be trained on; all that weren't set the limits.
+#: For trials with a smaller model: a bound on the trusted documents of each language that are trained on. None, as
+#: registered, takes all of them.
+TRAIN_DOCS: int | None = None
+#: Share of trusted documents that are trained on; all that aren't set the limits.
 TRAIN_SHARE = 0.8
 #: Quantiles of unseen trusted perplexities, and margins above them, that may be the languages' limits; labels of
 #: quality 0 choose one of these pairs.
@@ -339,13 +339,16 @@ def _classified(docs: DataFrame, labels: DataFrame, columns: list[str], with_tex
     place = F.xxhash64("doc_id", F.lit(11))
     split = F.pmod(place, F.lit(1000)) < int(1000 * TRAIN_SHARE)
     trusted = ws.write(trusted.select("doc_id", "lang", place.alias("place"), split.alias("train")).distinct(), "trusted")
-    per = trusted.where("train").groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
-    below = (F.col("place").cast("double") / 2.0**64 + 0.5) * F.col("n") < TRAIN_DOCS
-    sample = trusted.where("train").join(per, F.col("lang").eqNullSafe(F.col("of"))).where(below).select("doc_id").distinct()
-    sample = ws.write(sample, "sample")
-    model = train(docs.select("doc_id", "text").join(sample, "doc_id", "left_semi"), ws)
+    seen = trusted.where("train")
+    if TRAIN_DOCS is not None:
+        per = seen.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+        below = (F.col("place").cast("double") / 2.0**64 + 0.5) * F.col("n") < TRAIN_DOCS
+        seen = seen.join(per, F.col("lang").eqNullSafe(F.col("of"))).where(below)
+    seen = ws.write(seen.select("doc_id").distinct(), "seen")
+    # Grows with the corpus: always a merge join, whose cost is the same share of the input at every size.
+    model = train(docs.select("doc_id", "text").join(seen.hint("merge"), "doc_id", "left_semi"), ws)
     scores = perplexities(docs, model, ws, ["doc_id", "lang", "row"], with_text)
-    held = scores.select("doc_id", "lang", "perplexity").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").join(sample, "doc_id", "left_anti")
+    held = scores.select("doc_id", "lang", "perplexity").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").join(seen, "doc_id", "left_anti")
     q = F.percentile_approx("perplexity", F.array(*map(F.lit, QUANTILES)), 10000)
     q = F.array(*[q[i] * m for m in MARGINS for i in range(len(QUANTILES))])
     limits = ws.write(held.groupBy("lang").agg(F.when(F.count("perplexity") >= MIN_HELD, q).alias("own")), "limits").where("lang is not null")

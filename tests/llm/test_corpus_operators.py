@@ -192,6 +192,23 @@ def test_classifier_limits(spark, monkeypatch):
     assert not any(got[i] for i, _, _ in poor + junk)
 
 
+def test_every_trusted_document_counts(spark, monkeypatch):
+    """Of more trusted documents than the former bound each one is trained on or sets the limits."""
+    r = random.Random(8)
+    words = ["the", "house", "was", "old", "and", "green"]
+    d = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(20)), "en") for i in range(2300)], "doc_id long, text string, lang string")
+    labels = spark.range(2200).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    trained, train = [], kneser_ney.train
+    monkeypatch.setattr(kneser_ney, "train", lambda docs, ws: trained.extend(x["doc_id"] for x in docs.collect()) or train(docs, ws))
+    rows = kneser_ney.classify(d, labels, ["doc_id"]).collect()
+    split = {x["id"] for x in spark.range(2200).where(f"pmod(xxhash64(id, 11), 1000) < {int(1000 * kneser_ney.TRAIN_SHARE)}").collect()}
+    assert sorted(trained) == sorted(split) and len(split) > 1600
+    held = sorted(x["perplexity"] for x in rows if x["doc_id"] < 2200 and x["doc_id"] not in split)
+    limits = [held[math.ceil(q * len(held)) - 1] * m for m in kneser_ney.MARGINS for q in kneser_ney.QUANTILES]
+    (limit,) = {x["limit"] for x in rows}
+    assert any(abs(limit - x) < 1e-9 * x for x in limits)
+
+
 def test_symbols_of_other_scripts():
     """Characters from U+0FFF on tell texts apart, and don't become Latin letters."""
     texts = ["\u4e2d\u6587\u5b57\u7b26", "\u5b57\u6587\u7b26\u4e2d", "\u3053\u308c\u306f\u4f55", "\ud55c\uad6d\uc5b4\ub97c", "\u201c\u2014\u2019\ufffd", "\U0001f600\U0001f601\U0001f602\U0001f603"]
