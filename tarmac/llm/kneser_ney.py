@@ -9,8 +9,9 @@ over trusted documents that training didn't see, with a margin: the pair of QUAN
 them from documents of quality 0.
 
 Every trusted document counts, by a hash of its doc_id: TRAIN_SHARE of them are the model's training text, whole, and
-all others set the limits, since the model knows those it was trained on too well to judge by them. No key takes all rows to one task: blocks are
-bounded, languages are only aggregated, and what blocks send to a bucket of n-grams is streamed past its n-grams.
+all others set the limits, since the model knows those it was trained on too well to judge by them. The quantiles are
+exact values of that rank among all of these. No key takes all rows to one task: blocks are bounded, ranks are counted in
+sorted parts, languages are only aggregated, and what blocks send to a bucket of n-grams is streamed past its n-grams.
 
 Defined results: null and empty texts have no perplexity and aren't kept; a null language or one with few
 unseen trusted documents takes the limit of all languages together; without trusted documents every document with text is
@@ -24,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import arrow_fields, block_count, bucket_count, deal, mix, raw_texts, with_fields
@@ -319,6 +320,28 @@ def perplexities(docs: DataFrame, model: Model, ws: Workspace, columns: list[str
     return ws.write(block_scores(dealt, ws.write(block_logs(packed, logs, buckets), "block-logs"), columns, buckets, with_text), "scores")
 
 
+def order_statistics(rows: DataFrame, shares: tuple[float, ...], ws: Workspace) -> DataFrame:
+    """whole, lang, n, q: the number of perplexities of each language and, with whole and lang '', of all together, and
+    for each share the smallest perplexity that this share of them is not above.
+
+    Every row counts: different values are sorted into parts, the parts' counts tell where a rank lies, and only that
+    part is counted through.
+    """
+    groups = F.array(F.struct(F.lit(False).alias("whole"), F.col("lang").alias("lang")), F.struct(F.lit(True).alias("whole"), F.lit("").alias("lang")))
+    each = rows.where("perplexity is not null").select(F.explode(groups).alias("g"), "perplexity").where("g.lang is not null")
+    counts = each.groupBy("g.whole", "g.lang", "perplexity").agg(F.count("*").alias("c"))
+    placed = ws.write(counts.repartitionByRange("whole", "lang", "perplexity").withColumn("part", F.spark_partition_id()), "ranked")
+    of = Window.partitionBy("whole", "lang")
+    parts = placed.groupBy("whole", "lang", "part").agg(F.sum("c").alias("m"))
+    parts = parts.select("*", F.sum("m").over(of).alias("n"), (F.sum("m").over(of.orderBy("part")) - F.col("m")).alias("before"))
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.ceil(F.lit(s) * F.col("n")).alias("k")) for i, s in enumerate(shares)])
+    wanted = parts.select("*", F.explode(ranks).alias("r")).where("r.k > before and r.k <= before + m").select("whole", "lang", "part", "n", "r.i", (F.col("r.k") - F.col("before")).alias("k"))
+    upto = F.sum("c").over(Window.partitionBy("whole", "lang", "i").orderBy("perplexity"))
+    found = placed.join(wanted, ["whole", "lang", "part"]).withColumn("upto", upto).where("upto >= k").groupBy("whole", "lang", "n", "i").agg(F.min("perplexity").alias("x"))
+    found = found.groupBy("whole", "lang", "n").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("q"))
+    return found.withColumn("q", F.col("q.x"))
+
+
 def best_limit(held: DataFrame, poor: DataFrame, limits: DataFrame, common: list[float]) -> int:
     """Place of the pair whose limits keep the largest share of held less that of poor; the last of equal ones."""
     places = range(len(QUANTILES) * len(MARGINS))
@@ -349,11 +372,11 @@ def _classified(docs: DataFrame, labels: DataFrame, columns: list[str], with_tex
     model = train(docs.select("doc_id", "text").join(seen.hint("merge"), "doc_id", "left_semi"), ws)
     scores = perplexities(docs, model, ws, ["doc_id", "lang", "row"], with_text)
     held = scores.select("doc_id", "lang", "perplexity").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").join(seen, "doc_id", "left_anti")
-    q = F.percentile_approx("perplexity", F.array(*map(F.lit, QUANTILES)), 10000)
-    q = F.array(*[q[i] * m for m in MARGINS for i in range(len(QUANTILES))])
-    limits = ws.write(held.groupBy("lang").agg(F.when(F.count("perplexity") >= MIN_HELD, q).alias("own")), "limits").where("lang is not null")
-    common = held.agg(q.alias("x")).head()["x"]
-    common = None if common[0] is None else common
+    q = F.array(*[F.col("q")[i] * m for m in MARGINS for i in range(len(QUANTILES))])
+    ranked = ws.write(order_statistics(held, QUANTILES, ws).select("whole", "lang", "n", q.alias("q")), "limits")
+    limits = ranked.where("not whole").select("lang", F.when(F.col("n") >= MIN_HELD, F.col("q")).alias("own"))
+    common = ranked.where("whole").head()
+    common = common and common["q"]
     poor = scores.select("doc_id", "lang", "perplexity").join(worst.where("q = 0").select("doc_id"), "doc_id", "left_semi")
     at = best_limit(held, poor, limits, common) if common else 0
     # One row for each language of the trusted documents.

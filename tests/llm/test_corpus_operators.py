@@ -209,6 +209,22 @@ def test_every_trusted_document_counts(spark, monkeypatch):
     assert any(abs(limit - x) < 1e-9 * x for x in limits)
 
 
+def test_limits_are_exact_quantiles(spark):
+    """Of more values than a sketch holds, repeated and in any order, each quantile is the value of that very rank."""
+    r = random.Random(9)
+    rows = [(r.choice(["en", "en", "en", "de", "", None]), r.choice([None, 7.0, *[r.lognormvariate(1.5, 0.3)] * 8])) for _ in range(150_000)]
+    d = spark.createDataFrame(rows, "lang string, perplexity double").repartition(16)
+    shares = kneser_ney.QUANTILES
+    got = {(x["whole"], x["lang"]): (x["n"], x["q"]) for x in kneser_ney.order_statistics(d, shares, Workspace(spark, "test")).collect()}
+    own = {(False, k): sorted(p for lang, p in rows if lang == k and p is not None) for k in ("en", "de", "")}
+    own[True, ""] = sorted(p for _, p in rows if p is not None)
+    assert got == {k: (len(v), [v[math.ceil(s * len(v)) - 1] for s in shares]) for k, v in own.items()}
+    # What the limits were before: values near the rank.
+    near = d.agg(F.percentile_approx("perplexity", F.array(*map(F.lit, shares)), 10000).alias("q")).head()["q"]
+    assert near != got[True, ""][1]
+    assert kneser_ney.order_statistics(d.where("perplexity is null"), shares, Workspace(spark, "test")).count() == 0
+
+
 def test_symbols_of_other_scripts():
     """Characters from U+0FFF on tell texts apart, and don't become Latin letters."""
     texts = ["\u4e2d\u6587\u5b57\u7b26", "\u5b57\u6587\u7b26\u4e2d", "\u3053\u308c\u306f\u4f55", "\ud55c\uad6d\uc5b4\ub97c", "\u201c\u2014\u2019\ufffd", "\U0001f600\U0001f601\U0001f602\U0001f603"]
