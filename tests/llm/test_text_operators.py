@@ -163,6 +163,63 @@ def test_split_words_random(seed):
         assert np.frombuffer(b"".join(pw[w] for w in words), "<u2").tolist() == pw.t.encode(text, add_special_tokens=False).ids
 
 
+def test_words_cut_by_place():
+    """White space in one place of a text leaves the other places cut, and texts in a row are cut as each alone."""
+    assert tokens.split_words("one.two\tthree, four  .five\n\nsix\nx") == ["one", ".two\tthree", ",", " four", "  .five", "\n\nsix", "\n", "x"]
+    parts = ["a", "b ", "  ", "\n", " \n", "\r\n", "'ll", "\t", "é", "ñ.", "×", "÷,", "²,", "1.5", "...", "<|endoftext|>", "<|.|>", "\xa0.", "\u180e", "\u2003", "\u2028", "\u200b", "\u3000.", "\x85", "\x1c", "\0", "\u0301.", "中.", "_.", "x.", "😀,", "“", "."]
+    r = random.Random(4)
+    t, known = tokens.load(tokens.default_path()), tokens.WordIds(tokens.default_path())
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(3000)]
+    words, sizes = tokens.cut_words([x.encode() for x in texts])
+    words = [w.decode() for w in words.to_pylist()]
+    known.learn(words)
+    ends = np.cumsum([0, *sizes]).tolist()
+    for text, a, b in zip(texts, ends, ends[1:], strict=False):
+        assert words[a:b] == tokens.split_words(text) and "".join(words[a:b]) == text
+        assert np.frombuffer(b"".join(known[w] for w in words[a:b]), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert len(words) == ends[-1]
+
+
+def test_bpe_join_makes_no_object_for_each_word():
+    """A block's words, ids and bytes are joined as arrays: few Python bytes for each byte of text, and the same digests."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import zstandard
+
+    class Step:
+        """Stands for a table, and holds the function that a task would run."""
+
+        def __getattr__(self, name):
+            return lambda *a: setattr(self, "run", a[0]) or self if name.endswith("InArrow") else self
+
+    texts = [None, " ".join(f"{'abcdefg'[i * i % 7]}{i % 997}" for i in range(150_000)), "", "<|endoftext|> é.\0"]
+    z = [zstandard.ZstdCompressor().compress((x or "").encode()) for x in texts]
+    left = pa.table({"block": pa.array([0] * 4, pa.int32()), "doc_id": pa.array([3, None, 3, 4], pa.int64()), "z": pa.array(z, pa.binary())})
+    path = tokens.default_path()
+    words = tokens.distinct_words(Step(), 4).run(left)
+    right = pa.Table.from_batches(tokens.encode_words(Step(), 4, path).run(words.combine_chunks().to_batches()))
+    join = tokens.join_by_position(Step(), Step(), 4, tokens._digest, tokens._DIGEST, "").run
+    tracemalloc.start()
+    got = join(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * sum(len(x or "") for x in texts)
+    t = tokens.load(path)
+    for x, n, ids, decoded in zip(texts, *(got.column(c).to_pylist() for c in ("n_tokens", "ids_sha256", "decoded_sha256")), strict=True):
+        own = t.encode(x or "", add_special_tokens=False).ids
+        assert n == len(own) and ids == hashlib.sha256(",".join(map(str, own)).encode()).hexdigest()
+        assert decoded == hashlib.sha256(t.decode(own, skip_special_tokens=False).encode()).hexdigest()
+    assert got.column("doc_id").to_pylist() == [3, None, 3, 4]
+    long = [z[0], zstandard.ZstdCompressor().compress(b"a b" * 1_500_000), z[0]]
+    runs = pa.table({"block": pa.array([0] * 3, pa.int32()), "doc_id": pa.array([1, 2, 3], pa.int64()), "z": pa.array(long, pa.binary())})
+    words = tokens.distinct_words(Step(), 4).run(runs)
+    own = pa.Table.from_batches(tokens.encode_words(Step(), 4, path).run(words.combine_chunks().to_batches()))
+    assert join(runs, own).column("n_tokens").to_pylist() == [0, len(t.encode("a b" * 1_500_000, add_special_tokens=False).ids), 0]
+    empty = pa.table({"block": pa.array([0], pa.int32()), "doc_id": pa.array([9], pa.int64()), "z": pa.array(z[:1], pa.binary())})
+    assert tokens.distinct_words(Step(), 4).run(empty).num_rows == 0 and join(empty, right.slice(0, 0)).column("n_tokens").to_pylist() == [0]
+
+
 def rules_by_hand(text):
     t = text or ""
     w = WORDS.findall(t)
