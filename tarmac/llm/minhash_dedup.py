@@ -1,4 +1,4 @@
-"""Near-duplicates by MinHash: banded minima, signature verification, exact confirmation, star components.
+"""Near-duplicates by MinHash: banded minima, signature verification, exact confirmation, components.
 
 1. Every document becomes its set of 5-word shingles; HASHES universal hash functions give minima, and BANDS
    bands of them give bucket keys. Documents with equal sets (by 128 bits of the whole set) form a class; one row
@@ -10,7 +10,7 @@
    into groups, each member with one row for each bucket. What these groups join are clusters; each cluster gets
    its members' full sets once, and all pairs of different components that may be links are confirmed there by
    counting common shingles. Only links between components leave a task, fewer than it has members.
-   Components by large-star and small-star.
+   Components in one task where all links fit it, else by large-star and small-star, whose result is the same.
 
 Nothing is capped, and no table holds pairs: they are compared inside tasks. A link can be missed only if it shares
 no band or its sketches agree five standard deviations too little. Hot groups: equal sets collapse before anything is
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .blocks import hashed, mix
 from .common import Workspace, slices, trim
-from .components import connected_components
+from .components import components
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -330,31 +330,22 @@ def class_groups(docs: DataFrame, classes: DataFrame, ws: Workspace, percent: in
     ws.drop(buckets)
     texts = ws.write(class_texts(docs, classes, shared.select("node").distinct()), "texts")
 
-    def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-        """Labels after these links; those so far are contracted first."""
-        if labels is not None:
-            for c in ("u", "v"):
-                links = links.join(labels.select(F.col("node").alias(c), "label"), c, "left").withColumn(c, F.coalesce("label", c)).drop("label")
-        new = connected_components(ws, links.select("u", "v")).select(F.col("node").alias("from"), F.col("component").alias("to"))
-        if labels is None:
-            return ws.write(new.toDF("node", "label"), "labels")
-        moved = labels.join(new, labels["label"] == new["from"], "left").select("node", F.coalesce("to", "label").alias("label"))
-        fresh = new.join(labels.select("node"), new["from"] == labels["node"], "left_anti").toDF("node", "label")
-        return ws.write(moved.unionByName(fresh), "labels")
+    def joined(links: DataFrame) -> DataFrame:
+        return components(ws, links).toDF("node", "label")
 
     pairs = ws.write(star_pairs(shared, classes, percent), "pairs")
-    labels = joined(None, ws.write(confirmed(pairs, texts, percent), "links"))
+    labels = joined(ws.write(confirmed(pairs, texts, percent), "links"))
 
     def tagged(rows: DataFrame, w) -> DataFrame:
         return ws.write(rows.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), w.alias("w")), "tagged")
 
     share = F.lit(1.0 / CELL_BLOCK)
     near = near_members(cells(tagged(shared, share), ws), classes, percent)
-    clusters = connected_components(ws, ws.write(near, "near"))
+    clusters = components(ws, ws.write(near, "near"))
     clusters = clusters.join(classes.select("node", "n"), "node").select("node", F.col("component").alias("key"), "n")
     dealt = cells(tagged(clusters, share + F.col("n") / CELL_SHINGLES), ws)
     links = ws.write(cluster_links(dealt, classes, texts, percent), "links")
-    return labels if links.isEmpty() else joined(labels, links)
+    return labels if links.isEmpty() else joined(labels.toDF("u", "v").unionByName(links))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

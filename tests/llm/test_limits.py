@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarmac.llm import html_text, kneser_ney, licenses, media, minhash_dedup, quality_rules, substring_dedup, tokens, url_filters
+from tarmac.llm import components, html_text, kneser_ney, licenses, media, minhash_dedup, quality_rules, substring_dedup, tokens, url_filters
 from tarmac.llm.blocks import hashed, runs, word_hashes, words_in
+from tarmac.llm.common import Workspace
 
 #: Names that the operators use inside.
 NAMES = ["block", "z", "row", "limit", "own", "kept", "perplexity", "n_symbols", "n_removed", "node", "label", "one", "h", "key", "text2", "odd name"]
@@ -369,3 +370,45 @@ def test_tables_grow_with_members(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == want and 250 < len({c for _, c in want}) < len(texts)
     # a row for each band at most, and for each pair of chunks that a bucket has
     assert max(sizes.values()) <= minhash_dedup.BANDS * len(texts) * -(-len(texts) // block), sizes
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, most):
+    """A shuffled path, a hub, random edges, loops, repeats and null ends, with ids of any size: the same by both ways."""
+    from test_corpus_operators import components_by_hand
+
+    monkeypatch.setattr(components, "TASK_EDGES", most)
+    r = random.Random(4)
+    names = sorted(r.randrange(-(1 << 62), 1 << 62) for _ in range(900))
+    path = r.sample(range(300), 300)
+    pairs = [*zip(path, path[1:]), *[(599, i) for i in range(300, 599)], *[(r.randrange(600, 900), r.randrange(600, 900)) for _ in range(160)], (5, 5), (700, 700)]
+    rows = [(names[a], names[b]) for a, b in pairs]
+    ws = Workspace(spark, "test")
+    edges = ws.write(spark.createDataFrame(rows + rows[:50] + [(b, a) for a, b in rows[300:350]] + [(None, names[0]), (names[0], None)], "u long, v long").repartition(7))
+    got = [tuple(x) for x in components.components(ws, edges).collect()]
+    hand = components_by_hand(900, pairs)
+    assert sorted(got) == sorted((names[i], names[hand[i]]) for i in {x for a, b in pairs for x in (a, b) if a != b})
+    assert components.components(ws, edges.where("u = v")).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_near_duplicates_write_few_tables(spark, monkeypatch, most):
+    """Chains of near copies: where all links fit one task, their components take no rounds of tables."""
+    from test_corpus_operators import minhash_by_hand
+
+    monkeypatch.setattr(components, "TASK_EDGES", most, raising=False)
+    r = random.Random(13)
+    texts = []
+    for c in range(6):
+        words = [f"c{c}w{i}" for i in range(150)]
+        for _ in range(25):
+            words[r.randrange(150)] = f"x{r.randrange(10**9)}"
+            texts.append(" ".join(words))
+    r.shuffle(texts)
+    written, write = [], minhash_dedup.Workspace.write
+    monkeypatch.setattr(minhash_dedup.Workspace, "write", lambda self, df, name="t": written.append(name) or write(self, df, name))
+    rows = minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = minhash_by_hand(texts)
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in rows) == [(i, *x) for i, x in enumerate(want)]
+    assert max(np.unique([c for _, c in want], return_counts=True)[1]) > 10
+    assert not most or len(written) <= 20, written
